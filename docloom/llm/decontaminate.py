@@ -86,7 +86,7 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     if not runs:
         return []
     data = text.encode()
-    found = [m.span() for m in WORD.finditer(data)]
+    found = [m.span() for m in WORD.finditer(data.lower())]
     return [(len(data[: found[a][0]].decode()), len(data[: found[b - 1][1]].decode())) for a, b in runs]
 
 
