@@ -19,7 +19,7 @@ from .common import tokenizer_path
 #: Words that the library encodes in one call.
 TOGETHER = 4000
 #: Words that each half of the cache keeps.
-KEEP = 250_000
+KEEP = 400_000
 #: What may close a word of letters and is then a piece of its own: ASCII marks, without the apostrophe of contractions.
 CLOSING = bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27)
 #: Normalisers and splitter for which the short way holds.
@@ -117,7 +117,7 @@ class WordEncoder:
         """The ids of each text, as bytes."""
         split = [self._lowered(text).encode().split() for text in texts]
         young = self.young
-        if missing := {w for words in split for w in words if w not in young}:
+        if missing := set().union(*split).difference(young):
             self._learn(missing)
         out = [b"".join(map(young.__getitem__, words)) for words in split]
         if len(young) > self.keep:
