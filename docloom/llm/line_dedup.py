@@ -31,7 +31,9 @@ def dropped_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     keyed = lines.filter(F.char_length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
     hashed = saved(keyed.select("doc_id", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")), "lines")
     common = hashed.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
-    lost = hashed.join(common.select("a", "b", "last"), ["a", "b"]).filter(F.col("doc_id") < F.col("last"))
+    # Written out, so that the join reads plain exchanges on both sides: only such a join splits a line that is everywhere.
+    common = saved(common.select("a", "b", "last"), "common")
+    lost = hashed.join(common, ["a", "b"]).filter(F.col("doc_id") < F.col("last"))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
 
 
