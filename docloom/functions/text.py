@@ -93,10 +93,10 @@ def collapse_newlines(c: Column) -> Column:
 
 
 def normalize_ion_charges(c: Column) -> Column:
-    """Cu2+ as Cu^{2+} and Na+ as Na^{+}; a plus that stands between two species stays."""
-    counted = F.regexp_replace(c, r"([A-Z][a-z]?)[ \t\r\n]*(\d+)([+-])(?![0-9])(?!\s+[A-Z(])", r"$1^{$2$3}")
-    counted = F.regexp_replace(counted, r"([A-Z][a-z]?)(\d+)([+-]+)(?![0-9A-Za-z{])(?!\s+[A-Z(])", r"$1^{$2$3}")
-    return F.regexp_replace(counted, r"([A-Z][a-z]?)([+-]+)(?![0-9A-Za-z{>])(?!\s+[A-Z(])", r"$1^{$2}")
+    """Cu2+ as Cu^{2+} and Na+ as Na^{+}; a sign between white space that a species follows stays."""
+    counted = F.regexp_replace(c, r"([A-Z][a-z]?)\s*(\d+)(?:\s+(?=[+-](?!\s+[A-Z(])))?([+-])(?![0-9])", r"$1^{$2$3}")
+    counted = F.regexp_replace(counted, r"([A-Z][a-z]?)(\d+)([+-]+)(?![0-9A-Za-z{])", r"$1^{$2$3}")
+    return F.regexp_replace(counted, r"([A-Z][a-z]?)([+-]+)(?![0-9A-Za-z{>])", r"$1^{$2}")
 
 
 def join_broken_ion_charges(c: Column) -> Column:
@@ -167,8 +167,7 @@ def parse_qa(c: Column) -> Column:
 
 def is_qa_placeholder(c: Column) -> Column:
     """A question and answer form that nobody has filled in."""
-    parts = parse_qa(c)
-    return (parts["question"] == "") & (parts["answer"] == "")
+    return collapse(F.coalesce(c, F.lit(""))).isin("", "**Q:**", "**A:**", "**Q:** **A:**")
 
 
 def basename(c: Column) -> Column:

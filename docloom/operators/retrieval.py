@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULTS, PipelineConfig
+from ..functions.frames import union
 from ..functions.text import lexical_overlap, query_terms, trim_all
 
 #: BM25's constants.
@@ -29,11 +31,11 @@ def search_corpus(chunks: DataFrame, cards: DataFrame, mcqs: DataFrame, docs: Da
     own = chunks.select("doc_id", "chunk_id", "text", vector.alias("embedding"))
     asked = cards.select("doc_id", F.concat(F.lit("flash:"), "id").alias("chunk_id"), F.concat_ws("\n", "info", "solution.text").alias("text"), none.alias("embedding"))
     chosen = mcqs.select("doc_id", F.concat(F.lit("mcq:"), "id").alias("chunk_id"), F.concat_ws("\n", "question", F.array_join("options", "\n"), "explanation").alias("text"), none.alias("embedding"))
-    found = own.unionByName(asked).unionByName(chosen).filter(trim_all(F.coalesce(F.col("text"), F.lit(""))) != "")
+    found = union(own, asked, chosen).filter(trim_all(F.coalesce(F.col("text"), F.lit(""))) != "")
     bare = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     parts = bare.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("markdown"), F.lit("")), r"\n{2,}")).alias("i", "p")).withColumn("p", trim_all(F.col("p"))).filter(F.char_length("p") > 40)
     numbered = parts.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1)
-    return found.unionByName(numbered.select("doc_id", F.concat(F.lit("md-"), F.col("n").cast("string")).alias("chunk_id"), F.col("p").alias("text"), none.alias("embedding")))
+    return union(found, numbered.select("doc_id", F.concat(F.lit("md-"), F.col("n").cast("string")).alias("chunk_id"), F.col("p").alias("text"), none.alias("embedding")))
 
 
 def terms_table(corpus: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -73,14 +75,15 @@ def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.bm25_t
 
 def _blocks(df: DataFrame, id_column: str, rows: int) -> DataFrame:
     """Vectors as matrices of so many rows: ids, dims, and unit vectors as little-endian doubles. Null, empty and zero vectors are left out."""
-    kind = df.schema[id_column].dataType.simpleString()
+    kind = df.schema[id_column].dataType
+    ids_type = to_arrow_type(kind)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
 
         def emit(dims: int) -> pa.RecordBatch:
             ids, vectors = held.pop(dims)
-            return pa.RecordBatch.from_pydict({"ids": pa.array([ids]), "dims": pa.array([dims], pa.int32()), "matrix": pa.array([np.stack(vectors).astype("<f8").tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"ids": pa.array([ids], pa.list_(ids_type)), "dims": pa.array([dims], pa.int32()), "matrix": pa.array([np.stack(vectors).astype("<f8").tobytes()], pa.binary())})
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -96,7 +99,7 @@ def _blocks(df: DataFrame, id_column: str, rows: int) -> DataFrame:
         for dims in list(held):
             yield emit(dims)
 
-    return df.select(id_column, "embedding").mapInArrow(pack, f"ids array<{kind}>, dims int, matrix binary")
+    return df.select(id_column, "embedding").mapInArrow(pack, f"ids array<{kind.simpleString()}>, dims int, matrix binary")
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_top_k, min_score: float = -1.0, key: str = "chunk_id") -> DataFrame:
@@ -107,7 +110,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_
     query, so neither side is collected and no pair of vectors is a row. Only scores above min_score count; ties go to the
     key that sorts first.
     """
-    kinds = [queries.schema["query_id"].dataType.simpleString(), corpus.schema[key].dataType.simpleString()]
+    kinds = [queries.schema["query_id"].dataType, corpus.schema[key].dataType]
+    types = list(map(to_arrow_type, kinds))
     left = _blocks(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), "dims", F.col("matrix").alias("q"))
     right = _blocks(corpus, key, CORPUS_BLOCK).select(F.col("ids").alias("c_ids"), F.col("dims").alias("c_dims"), F.col("matrix").alias("c"))
 
@@ -120,10 +124,10 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_
                 rows = np.repeat(np.arange(len(q_ids)), take.shape[1])
                 found = scores[rows, take.ravel()]
                 keep = found > min_score
-                yield pa.RecordBatch.from_arrays([pa.array([q_ids[i] for i in rows[keep]]), pa.array([c_ids[j] for j in take.ravel()[keep]]), pa.array(found[keep])], names=["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([q_ids[i] for i in rows[keep]], types[0]), pa.array([c_ids[j] for j in take.ravel()[keep]], types[1]), pa.array(found[keep])], names=["query_id", key, "score"])
 
     pairs = left.crossJoin(right).filter("dims = c_dims")
-    found = pairs.mapInArrow(best, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    found = pairs.mapInArrow(best, f"query_id {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)) - 1).filter(F.col("rank") < k)
 
 
@@ -149,9 +153,10 @@ def fuse(vector: DataFrame, lexical: DataFrame, cap: int = DEFAULTS.fuse_top_k,
 
     vector_score and lexical_score are what the lists had; null for what only the other list found.
     """
-    none = F.lit(None).cast("double")
-    arms = normalize_scores(vector.withColumn("raw", F.col("score"))).select("query_id", key, "score", F.col("raw").alias("v"), none.alias("l")).unionByName(normalize_scores(lexical.withColumn("raw", F.col("score"))).select("query_id", key, "score", none.alias("v"), F.col("raw").alias("l")))
-    summed = arms.groupBy("query_id", key).agg(F.round(F.sum("score"), 6).alias("score"), F.max("v").alias("vector_score"), F.max("l").alias("lexical_score"))
+    lists = [normalize_scores(x.withColumn(raw, F.col("score"))).select("query_id", key, F.col("score").alias(f"__{raw}"), raw) for x, raw in ((vector, "vector_score"), (lexical, "lexical_score"))]
+    both = lists[0].join(lists[1], ["query_id", key], "full")
+    score = F.round(F.coalesce("__vector_score", F.lit(0.0)) + F.coalesce("__lexical_score", F.lit(0.0)), 6)
+    summed = both.select("query_id", key, score.alias("score"), "vector_score", "lexical_score")
     return summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)) - 1).filter(F.col("rank") < cap)
 
 

@@ -1,0 +1,78 @@
+import pytest
+from pyspark.sql import functions as F
+
+from docloom import config
+from docloom.functions import text as T
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first().y
+
+
+def test_config():
+    assert config.resolve().chunk_size_tokens == 512
+    assert config.resolve({"max_reply_words": 9999}).max_reply_words == 500 and config.resolve({"max_reply_words": 3}).max_reply_words == 10
+    assert config.clamp_reply_words(float("nan")) == 500 and config.clamp_reply_words(20.5) == 21
+    assert config.resolve({"fuse_top_k": None}).fuse_top_k == 3
+    assert config.tokens_to_chars(0.1) == 1 and config.tokens_to_chars(10) == 40
+    with pytest.raises(ValueError):
+        config.resolve({"nothing": 1})
+
+
+@pytest.mark.parametrize(("text", "tokens"), [("", 0), ("  \n", 0), ("a", 1), ("abcd", 1), ("abcde", 2), ("  abcd  ", 1)])
+def test_tokens(spark, text, tokens):
+    assert one(spark, T.estimate_tokens, text) == tokens
+
+
+def test_sentences(spark):
+    long = "word " * 500 + "end."
+    got = one(spark, T.split_sentences, f"Too short. This sentence is long enough to stay! THE INTRODUCTION TO ELECTROCHEMICAL CELLS. Is\nthis one also long enough to stay? {long}")
+    assert got[:2] == ["This sentence is long enough to stay!", "Is this one also long enough to stay?"]
+    assert [len(x) for x in got[2:]] == [2048, 456] and "".join(got[2:]).replace(" ", "") == long.replace(" ", "")
+    assert one(spark, T.split_sentences, "") == []
+
+
+@pytest.mark.parametrize(("text", "skipped"), [("1.2 THE STRUCTURE OF ATOMS", True), ("ELECTROCHEMICAL CELLS AND MORE", True), ("THIS LINE IS CALLED A SENTENCE ALSO", False), ("A normal sentence about nothing at all", False), ("SHORT", False)])
+def test_headings(spark, text, skipped):
+    assert one(spark, T.is_skippable_heading, text) is skipped
+
+
+@pytest.mark.parametrize(
+    ("query", "passage", "ratio"),
+    [("Pythagarus theorem", "Galvanic cells turn chemical energy into electrical energy.", 0.0), ("Pythagarus theorem", "The Pythagoras theorem holds for right triangles.", 1.0), ("the of", "the of", 0.0), ("zinc zinc iron", "Zinc only", 2 / 3)],
+)
+def test_overlap(spark, query, passage, ratio):
+    df = spark.createDataFrame([(query, passage)], "q string, p string").select(T.query_terms(F.col("q")).alias("t"), F.lower("p").alias("p"))
+    assert df.select(T.lexical_overlap(F.col("t"), F.col("p"), F.split("p", r"\W+")).alias("o")).first().o == pytest.approx(ratio)
+
+
+def test_small_functions(spark):
+    assert one(spark, T.normalize_markdown, "a  \n\n\n\nb\t\nc ") == "a\n\nb\nc"
+    assert one(spark, T.merge_partial_numbering, ".1\nThe intent of this section.\n\n.2\nSecond item.") == ".1 The intent of this section.\n\n.2 Second item."
+    assert one(spark, T.collapse_newlines, " a \n\n b\nc ") == "a b c"
+    assert one(spark, T.search_tokens, "One, two-three (ONE) 123 a1b éa4 xy") == ["one", "two-three", "a1b", "éa4"]
+    assert one(spark, T.basename, "a\\b/c.TXT") == "c.TXT" and one(spark, T.extname, "a/b.TXT") == ".txt" and one(spark, T.extname, ".env") == ""
+    assert one(spark, T.escape_html, 'a <b> & "c"') == "a &lt;b&gt; &amp; &quot;c&quot;"
+    assert one(spark, T.strip_passage_prefix, "According to passage [2], zinc reacts.") == "Zinc reacts."
+    assert one(spark, T.join_broken_ion_charges, "Cu\n2+\n(aq)") == "Cu2+\n(aq)"
+    assert one(spark, T.normalize_ion_charges, "Cu2+ and Na+ but H2 + O2") == "Cu^{2+} and Na^{+} but H2 + O2"
+    assert one(spark, T.decode_base64url, "aHR0cHM6Ly9leGFtcGxlLmNvbS8_cQ") == "https://example.com/?q"
+    assert one(spark, T.explain_failure, "ENOSPC: no space left") == "disk" and one(spark, T.explain_failure, "request timed out") == "timeout" and one(spark, T.explain_failure, None) == "unknown"
+    assert one(spark, T.has_math_markup, "a $x$ b") and not one(spark, T.has_math_markup, "costs $5")
+    assert one(spark, lambda c: T.trim_answer(c, 2), " one  two three") == "one two"
+    assert one(spark, T.card_key, "  What   IS it? ") == "what is it?"
+
+
+def test_question_and_answer(spark):
+    df = spark.createDataFrame([("What?", " Because. "), ("", "only"), ("q", None)], "q string, a string").select(T.qa_content(F.col("q"), F.col("a")).alias("c"))
+    assert [r.c for r in df.collect()] == ["**Q:** What?\n\n**A:** Because.", "**A:** only", "**Q:** q"]
+    assert tuple(one(spark, T.parse_qa, "**Q:** What?\n\n**A:** Because.\nSo.")) == ("What?", "Because.\nSo.")
+    assert tuple(one(spark, T.parse_qa, "plain")) == ("plain", "") and tuple(one(spark, T.parse_qa, "**A:** x")) == ("", "x")
+    assert one(spark, T.is_qa_placeholder, "**Q:** \n\n**A:** ")
+
+
+def test_data_uris(spark):
+    got = one(spark, T.parse_data_uri, "data:text/plain;charset=utf-8;base64,SGVsbG8=")
+    assert (got.mimetype, got.charset, bytes(got.content)) == ("text/plain", "utf-8", b"Hello")
+    assert bytes(one(spark, T.parse_data_uri, "data:,a%20b+c").content) == b"a b+c"
+    assert one(spark, T.parse_data_uri, "http://x") is None
