@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written into the folder in spark.checkpoint.dir, which all executors share, and read back.
+
+    For what several steps read: it is computed once, and its plan begins at files that lost executors don't take along. A
+    temporary folder only where none is set, as in tests.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def union(first: DataFrame, *rest: DataFrame) -> DataFrame:
     """All rows, columns by name.
 
@@ -15,3 +34,12 @@ def union(first: DataFrame, *rest: DataFrame) -> DataFrame:
     for df in rest:
         first = first.unionByName(df)
     return first
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it comes in no more: a small table, whose file may be one row group.
+
+    Tables of a cluster's size have more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

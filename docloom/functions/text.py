@@ -14,9 +14,13 @@ WS = f"[{BLANKS}]"
 STOP_WORDS = "the and for are but not you all can had her was one our out has have been were what when who how why with this that from they them then than into about which their there would could should does did its it's a an of to in on is it as at by or be".split()
 
 
+#: The same characters one by one.
+BLANK_CHARS = " \t\n\x0b\x0c\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space of any kind at either end. Looks at the ends only, where a pattern would search the whole text."""
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -37,10 +41,12 @@ def estimate_tokens(c: Column) -> Column:
 
 def is_skippable_heading(c: Column) -> Column:
     """A numbered heading in capitals, or a short line mostly of capitals that says nothing about anything."""
-    letters = F.char_length(F.regexp_replace(c, "[^a-zA-Z]", ""))
-    upper = F.char_length(F.regexp_replace(c, "[^A-Z]", ""))
+    letters = F.char_length(F.regexp_replace(c, "[^a-zA-Z]+", ""))
+    upper = F.char_length(F.regexp_replace(c, "[^A-Z]+", ""))
     numbered = c.rlike(r"^\d+(?:\.\d+)*\s+THE\s+[A-Z][A-Z0-9\s\-]{8,}\.?$")
-    shouted = (letters >= 15) & (upper / F.greatest(letters, F.lit(1)) >= 0.72) & (F.char_length(c) < 140)
+    # Cheap tests first: most sentences are long, or hold a run of small letters that no heading of so few characters has room for.
+    short = (F.char_length(c) < 140) & ~c.rlike("(?:[a-z][^A-Za-z]*){40}")
+    shouted = short & (letters >= 15) & (upper / F.greatest(letters, F.lit(1)) >= 0.72)
     told = c.rlike(r"(?i)(?<![a-zA-Z0-9_])(is|are|was|called|include|located)(?![a-zA-Z0-9_])")
     return numbered | (shouted & ~told)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULTS, PipelineConfig
-from ..functions.frames import union
+from ..functions.frames import stored, union
 from ..functions.text import lexical_overlap, query_terms, trim_all
 
 #: BM25's constants.
@@ -51,21 +51,22 @@ def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.bm25_t
     scored, and sums are partial before the exchange. prefix: a query's term of 3 characters or more also finds longer
     terms that begin with it. Ties go to the key that sorts first. k hits a query; fewer where fewer match.
     """
-    postings = terms_table(corpus, key)
-    size = corpus.select(F.count("*").alias("n"), F.avg(F.size(query_terms(F.col("text")))).alias("mean"))
+    terms = corpus.select(key, query_terms(F.col("text")).alias("terms")).withColumn("dl", F.coalesce(F.size("terms"), F.lit(0)))
+    n, mean = terms.agg(F.count("*"), F.avg("dl")).first()
     asked = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("text")))).alias("q"))
-    found = postings
+    found = terms.select(key, "dl", F.explode("terms").alias("term"))
     if prefix:
         # Every start of a term of at least 3 characters, so that the join stays an equi-join.
         starts = F.transform(F.sequence(F.lit(3), F.greatest(F.char_length("term"), F.lit(3))), lambda i: F.substr(F.col("term"), F.lit(1), i))
-        found = postings.withColumn("q", F.explode(F.array_distinct(starts)))
+        found = found.withColumn("q", F.explode(F.array_distinct(starts)))
     else:
-        found = postings.withColumn("q", F.col("term"))
-    df = found.groupBy("q").agg(F.count_distinct(key).alias("df"))
-    wanted = asked.join(df, "q")
-    hits = found.join(wanted, "q").crossJoin(F.broadcast(size))  # size: one row
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+        found = found.withColumn("q", F.col("term"))
+    # Only terms that a query has are grouped and counted; the others end at the join.
+    wanted = stored(found.join(asked.select("q").distinct(), "q").groupBy(key, "term", "q", "dl").agg(F.count("*").alias("tf")), "postings")
+    df = wanted.groupBy("q").agg(F.count_distinct(key).alias("df"))
+    hits = wanted.join(df, "q").join(asked, "q")
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
     summed = hits.groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("bm25"))
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), key)
     top = summed.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import chemistry, math_text
 from ..functions import text as T
+from ..functions.frames import spread
 from ..operators import blocks, cards, chunks, packs, retrieval, words
 from ..sources import detect, registry
 from ..streaming.ingest import event_windows
@@ -17,7 +18,7 @@ from . import study
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def joined(c: str) -> Column:
