@@ -238,3 +238,9 @@ def attach_images(ranked: DataFrame, cards: DataFrame, blocks: DataFrame, most:
     numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).filter(F.col("n") < most)
     return numbered.select("query_id", "n", "src", "title", F.col("image_id").alias("block_id"))
 
+
+def vector_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_top_k, key: str = "chunk_id", strategy: str = "exact") -> DataFrame:
+    """The exact search, or with strategy "approximate" the one by random projections."""
+    if strategy not in ("exact", "approximate"):
+        raise ValueError("strategy must be exact or approximate")
+    return (vector_topk if strategy == "exact" else approximate_topk)(corpus, queries, k, key=key)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union
+
 #: Fixed values of the layout rules.
 ROW_TOLERANCE, GROUP_GAP, PARAGRAPH_SHARE, PARAGRAPH_CHARS = 5, 50.0, 0.55, 60
 LEAST_TOLERANCE, MOST_TOLERANCE, START_TOLERANCE, COLUMN_REACH, CELL_SLACK = 25.0, 50.0, 35.0, 40.0, 20.0
@@ -187,3 +189,22 @@ def reprocess_regions(words: DataFrame, regions: DataFrame) -> DataFrame:
     cells = F.transform(F.split(text, "\n"), lambda r: F.concat(F.lit("| "), F.array_join(F.split(r, r"\s{2,}|\t"), " | "), F.lit(" |")))
     return found.withColumn("content", F.when(F.col("kind") == "table", F.array_join(cells, "\n")).when(F.col("kind") == "qa", asked).when(F.col("kind").isin("formula", "math"), collapse(text)).otherwise(text))
 
+
+def page_blocks(words: DataFrame, lines: DataFrame, images: DataFrame, page_width: float = 612.0) -> DataFrame:
+    """doc_id, page, ord, block_id, type, content, rows, data_url and bbox: a page's blocks in reading order.
+
+    words: see form_segments; lines: see line_blocks; images: doc_id, page, data_url and bbox. A page on which forms or
+    tables are found is made of these segments, any other of its lines; pictures come with both. Pages without any of them
+    have no blocks.
+    """
+    from ..functions.frames import stored
+    from .blocks import gfm_table, reading_order
+
+    none = F.lit(None).cast("string")
+    no_rows = F.lit(None).cast("array<array<string>>")
+    found = stored(form_segments(words, page_width), "segments")
+    place = F.struct(F.lit(0.0).alias("x"), F.col("y").alias("y"), F.lit(page_width).alias("w"), F.lit(float(ROW_TOLERANCE)).alias("h"))
+    forms = found.select("doc_id", "page", "type", F.when(F.col("type") == "table", gfm_table(F.col("rows"))).otherwise(F.col("text")).alias("content"), F.when(F.col("type") == "table", F.col("rows")).alias("rows"), none.alias("data_url"), place.alias("bbox"))
+    plain = line_blocks(lines).join(found.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti").select("doc_id", "page", "type", "content", no_rows.alias("rows"), none.alias("data_url"), "bbox")
+    pictures = images.select("doc_id", "page", F.lit("image").alias("type"), F.lit("").alias("content"), no_rows.alias("rows"), "data_url", "bbox")
+    return reading_order(union(forms, plain, pictures)).select("doc_id", "page", "ord", "block_id", "type", "content", "rows", "data_url", "bbox")
