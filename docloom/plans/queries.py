@@ -270,6 +270,20 @@ def hybrid_retrieval(spark, sf_dir):
     return retrieval.retrieve(corpus, asked)
 
 
+def gated_passages(spark, sf_dir):
+    """hybrid_retrieval without nulls, and with digests for texts."""
+    found = hybrid_retrieval(spark, sf_dir)
+    return found.select(
+        "query_id", F.coalesce(F.col("rank").cast("long"), F.lit(-1)).alias("rank"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"),
+        F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("vector_score", F.lit(-1.0)).alias("vector_score"), F.round(F.coalesce("overlap", F.lit(-1.0)), 6).alias("overlap"), "reason", "mode",
+    )
+
+
+def chunk_digests(spark, sf_dir):
+    """text_chunks with digests for texts."""
+    return text_chunks(spark, sf_dir).select("doc_id", "chunk_id", F.md5("text").alias("digest"))
+
+
 def relevance_gate(spark, sf_dir):
     corpus, asked = _docs_as_corpus(spark, sf_dir), _items_as_queries(spark, sf_dir)
     ranked = retrieval.lexical_topk(corpus, asked, 3).withColumn("vector_score", F.lit(None).cast("double"))
@@ -324,8 +338,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         sentence_split, token_estimate, skippable_headings, normalized_markdown, significant_terms, search_tokens, card_keys, collapsed_lines, html_escaped, url_parts, data_uris, failure_classes, chemistry_text, math_latex,
-        detected_formats, converted_pages, nation_tables, markdown_blocks, blocks_to_markdown, block_chunks, text_chunks, study_cards, qa_pairs, qa_cards, qa_mcqs, reading_order, word_rows, form_segments, region_text, applied_edits,
-        lexical_topk, lexical_prefix_topk, vector_topk, approximate_vector_topk, hybrid_fusion, hybrid_retrieval, relevance_gate, answers, search_corpus, conversation_stats, merged_blocks, packed_studies, event_counts,
+        detected_formats, converted_pages, nation_tables, markdown_blocks, blocks_to_markdown, block_chunks, text_chunks, chunk_digests, study_cards, qa_pairs, qa_cards, qa_mcqs, reading_order, word_rows, form_segments, region_text, applied_edits,
+        lexical_topk, lexical_prefix_topk, vector_topk, approximate_vector_topk, hybrid_fusion, hybrid_retrieval, gated_passages, relevance_gate, answers, search_corpus, conversation_stats, merged_blocks, packed_studies, event_counts,
     )
 }
 
@@ -340,6 +354,10 @@ def _heading(s: str) -> str:
     return rf"(regexp_matches({s}, '^\d+(?:\.\d+)*\s+THE\s+[A-Z][A-Z0-9\s\-]{{8,}}\.?$') OR ({letters} >= 15 AND {upper} / greatest({letters}, 1) >= 0.72 AND length({s}) < 140 AND NOT regexp_matches({s}, '(?i)\b(is|are|was|called|include|located)\b')))"
 
 
+_SENTENCES = rf"""parts AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: {_TRIM.format("p")}) AS p FROM documents),
+kept AS (SELECT doc_id, list_filter(p, lambda x: length(x) >= 24 AND NOT {_heading("x")}) AS p FROM parts),
+cut AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= 2048 THEN [x] ELSE list_filter(list_transform(range(CAST(ceil(length(x) / 2048) AS BIGINT)), lambda i: {_TRIM.format("substring(x, i * 2048 + 1, 2048)")}), lambda s: s <> '') END)) AS s FROM kept)"""
+
 _QA = """pairs AS (SELECT conv_id AS doc_id, turn, text AS q, a FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r2 = 'assistant')"""
 _CARDS = rf"""{_QA},
 clean AS (SELECT doc_id, turn, turn // 4 AS page, {_TRIM.format("q")} AS q, {_TRIM.format("a")} AS a FROM pairs),
@@ -374,12 +392,29 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) - 1 A
 lexical AS (SELECT q, c, s, r, (count(*) OVER (PARTITION BY q) - r) / count(*) OVER (PARTITION BY q) AS score FROM ranked)"""
 
 
+_FUSED = f"""{_bm25(8)},
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT item_id AS q, d.doc_id AS c, round(list_cosine_similarity(x.e, y.e), 6) AS s FROM benchmark b JOIN e x ON x.vec_id = b.item_id, documents d JOIN e y ON y.vec_id = d.doc_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS r FROM near WHERE s > -1) WHERE r <= 8 AND s >= 0.45),
+arms AS (SELECT q, c, score AS s, NULL::DOUBLE AS v FROM lexical UNION ALL SELECT q, c, s, s FROM top),
+lists AS (SELECT q, c, v, s, min(s) OVER w AS lo, max(s) OVER w AS hi FROM arms WINDOW w AS (PARTITION BY q, v IS NULL)),
+summed AS (SELECT q, c, round(sum(CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END), 6) AS score, max(v) AS vector_score FROM lists GROUP BY q, c),
+fused AS (SELECT q, c, score, vector_score, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) - 1 AS rank FROM summed QUALIFY rank < 3)"""
+#: The share of the terms ts that a text with lower-case form low and words ws holds, or nearly holds.
+_OVERLAP = "CASE WHEN len(ts) = 0 THEN 0 ELSE len(list_filter(ts, lambda t: contains(low, t) OR (length(t) >= 6 AND len(list_filter(ws, lambda w: length(w) >= 4 AND abs(length(w) - length(t)) <= CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END AND levenshtein(t, w) <= CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END)) > 0))) / len(ts) END"
+
 SQL: dict[str, str] = {
-    "sentence_split": rf"""
-WITH parts AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: {_TRIM.format("p")}) AS p FROM documents),
-kept AS (SELECT doc_id, list_filter(p, lambda x: length(x) >= 24 AND NOT {_heading("x")}) AS p FROM parts),
-cut AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= 2048 THEN [x] ELSE list_filter(list_transform(range(CAST(ceil(length(x) / 2048) AS BIGINT)), lambda i: {_TRIM.format("substring(x, i * 2048 + 1, 2048)")}), lambda s: s <> '') END)) AS s FROM kept)
-SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(1))) AS digest FROM cut""",
+    "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(1))) AS digest FROM cut",
+    "chunk_digests": rf"""
+WITH RECURSIVE {_SENTENCES},
+sized AS (SELECT doc_id, s, list_transform(s, lambda x: CAST(ceil(length({_TRIM.format("x")}) / 4.0) AS BIGINT)) AS t FROM cut WHERE len(s) > 0),
+pre AS (SELECT doc_id, s, len(s) AS n, list_transform(range(len(s) + 1), lambda k: coalesce(list_sum(list_slice(t, 1, k)), 0)) AS p FROM sized),
+walk AS (
+  SELECT doc_id, 0 AS i, 0::BIGINT AS a, greatest(1, coalesce(list_max(list_filter(range(1, n + 1), lambda e: p[e + 1] <= 512)), 1)) AS b FROM pre
+  UNION ALL
+  SELECT doc_id, i + 1, a2, greatest(a2 + 1, coalesce(list_max(list_filter(range(a2 + 1, n + 1), lambda e: p[e + 1] - p[a2 + 1] <= 512)), a2 + 1))
+  FROM (SELECT w.doc_id, i, n, p, greatest(a + 1, coalesce(list_max(list_filter(range(a, b), lambda o: p[b + 1] - p[o + 1] >= 64)), a)) AS a2 FROM walk w JOIN pre ON pre.doc_id = w.doc_id WHERE b < n))
+SELECT w.doc_id, 'md-' || i AS chunk_id, md5({_TRIM.format("array_to_string(list_slice(s, a + 1, b), ' ')")}) AS digest FROM walk w JOIN pre ON pre.doc_id = w.doc_id""",
     "token_estimate": f"SELECT doc_id, CAST(ceil(length({_TRIM.format('text')}) / 4.0) AS BIGINT) AS tokens FROM documents",
     "skippable_headings": rf"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[\n.]'), lambda p: {_TRIM.format('p')}), lambda x: {_heading('x')})) AS n_headings FROM documents",
     "normalized_markdown": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(text, '.', '. ' || chr(10) || chr(10) || chr(10)), '[ \t\r\f\v]+\n', chr(10), 'g'), '[ \t\r\f\v]+$', ''), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents",
@@ -447,17 +482,16 @@ SELECT doc_id, CAST(region_id AS BIGINT) AS region_id, md5(string_agg(line, chr(
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND len(a.e) = len(b.e))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM s WHERE score > -1 QUALIFY rank < 8""",
-    "hybrid_fusion": f"""WITH {_bm25(8)},
-e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-near AS (SELECT item_id AS q, d.doc_id AS c, round(list_cosine_similarity(x.e, y.e), 6) AS s FROM benchmark b JOIN e x ON x.vec_id = b.item_id, documents d JOIN e y ON y.vec_id = d.doc_id),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS r FROM near WHERE s > -1) WHERE r <= 8 AND s >= 0.45),
-arms AS (SELECT q, c, score AS s, NULL::DOUBLE AS v FROM lexical UNION ALL SELECT q, c, s, s FROM top),
-lists AS (SELECT q, c, v, s, min(s) OVER w AS lo, max(s) OVER w AS hi FROM arms WINDOW w AS (PARTITION BY q, v IS NULL)),
-summed AS (SELECT q, c, round(sum(CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END), 6) AS score, max(v) AS vector_score FROM lists GROUP BY q, c)
-SELECT q AS query_id, c AS chunk_id, score, vector_score, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) - 1 AS rank FROM summed QUALIFY rank < 3""",
+    "hybrid_fusion": f"WITH {_FUSED} SELECT q AS query_id, c AS chunk_id, score, vector_score, rank FROM fused",
+    "gated_passages": rf"""WITH {_FUSED},
+told AS (SELECT f.*, d.text, {_OVERLAP} AS o FROM (SELECT f.*, {_TERMS.format("b.text")} AS ts FROM fused f JOIN benchmark b ON b.item_id = f.q) f JOIN (SELECT doc_id, text, lower(text) AS low, regexp_split_to_array(lower(text), '\W+') AS ws FROM documents) d ON d.doc_id = f.c),
+gate AS (SELECT q, CASE WHEN max(o) >= 0.34 THEN 'lexical' WHEN coalesce(max(vector_score), 0) >= 0.45 THEN 'vector' END AS reason FROM told GROUP BY q),
+passed AS (SELECT told.*, reason FROM told JOIN gate USING (q) WHERE reason IS NOT NULL)
+SELECT b.item_id AS query_id, coalesce(rank, -1) AS rank, coalesce(c, -1) AS chunk_id, md5(coalesce(p.text, '')) AS digest, coalesce(score, -1) AS score, coalesce(vector_score, -1) AS vector_score, round(coalesce(o, -1), 6) AS overlap,
+  coalesce(reason, 'none') AS reason, CASE WHEN p.q IS NULL THEN 'no-match' ELSE 'hybrid' END AS mode FROM benchmark b LEFT JOIN passed p ON p.q = b.item_id""",
     "relevance_gate": rf"""WITH {_bm25(3)},
 told AS (SELECT l.q, {_TERMS.format("b.text")} AS ts, lower(d.text) AS low, regexp_split_to_array(lower(d.text), '\W+') AS ws FROM lexical l JOIN benchmark b ON b.item_id = l.q JOIN documents d ON d.doc_id = l.c),
-each AS (SELECT q, CASE WHEN len(ts) = 0 THEN 0 ELSE len(list_filter(ts, lambda t: contains(low, t) OR (length(t) >= 6 AND len(list_filter(ws, lambda w: length(w) >= 4 AND abs(length(w) - length(t)) <= CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END AND levenshtein(t, w) <= CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END)) > 0))) / len(ts) END AS o FROM told),
+each AS (SELECT q, {_OVERLAP} AS o FROM told),
 best AS (SELECT b.item_id AS query_id, coalesce(max(o), 0) AS o FROM benchmark b LEFT JOIN each ON each.q = b.item_id GROUP BY 1)
 SELECT query_id, o >= 0.34 AS relevant, CASE WHEN o >= 0.34 THEN 'lexical' ELSE 'none' END AS reason, round(o, 6) AS best_lexical_overlap FROM best""",
     "conversation_stats": f"""WITH {_CARDS}
