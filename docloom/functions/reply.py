@@ -11,7 +11,9 @@ from . import chemistry
 #: Words that glued text is made of.
 SEGMENT_WORDS = sorted("respectively therefore according indicates passage sulfate sulphate aqueous solution copper react metal zinc salt form that this with from which when were been have into than then also and the for are was of to in is on as by or an at a".split(), key=lambda w: -len(w))
 PASSAGE = r"passage\s*\[\d+\]\s*[,:.\-–—]?\s*"
-NO_CONTEXT_REPLY = "I could not find that in this study pack."
+#: What is replied where nothing is found, and what ends a model's turn.
+NO_CONTEXT_REPLY = "I couldn't find information about that in the loaded study material."
+STOPS = ["<|im_end|>", "<|endoftext|>", "<|im_start|>", "<|startoftext|>"]
 RAG_RULES = "Answer from the passages only. Keep it short and factual. If the passages do not hold the answer, say so."
 NO_CONTEXT_RULES = "You have no passages for this question. Say that the study pack does not cover it."
 PASSAGE_CHARS, LATER_PASSAGE_CHARS, QUERY_CHARS = (900, 700, 500), 400, 200
