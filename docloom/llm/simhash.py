@@ -18,13 +18,13 @@ SEED = 42
 PAIRED = 24
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Bit i is set if it is in over half of the shingles' XXH64. No words: 0."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each shingle of so many words, repeated ones too; of fewer words, all of them are one. No words: none."""
     import xxhash
 
     found = text.encode().lower().split()  # bytes: only A-Z change, and only ASCII white space parts words
     if not found:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(found)
     n = max(1, len(found) - words + 1)
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
@@ -32,7 +32,13 @@ def fingerprint(text: str, words: int = 3) -> int:
     starts = (ends - sizes + 1)[:n].tolist()
     stops = ends[min(words, len(found)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """Bit i is set if it is in over half of the shingles' XXH64. No words: 0."""
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
     # In slices, so that a long text's bits don't all stand in memory at once.
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 65_536):
