@@ -24,6 +24,9 @@ MOST_LANGUAGES = 64
 BUCKETS = 1 << 16
 #: A text's evidence counts as that of so many trigrams at most, as its trigrams aren't independent.
 EFFECTIVE = 200
+#: The unknown alternative: a trigram is twice as likely as if all buckets were equal, so that a profile of few texts, which is
+#: nearly that even, loses too; and so probable is such a text beforehand.
+UNKNOWN_LOG, UNKNOWN_PRIOR = -float(np.log(BUCKETS / 2)), 0.01
 #: Pseudo-counts: towards the domain's prior, towards that of all, and of declarations and suffixes.
 HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 1.0
 #: Bytes of a text that are scored at once.
@@ -101,8 +104,9 @@ def identify(rows: DataFrame, profiles: Profiles, min_posterior: float = 0.5) ->
 
     rows: text, declared and host (any may be null); its other columns stay, but those named as the new ones. text_lang is
     the likeliest language by the text alone, lang_id by all evidence. A text without letters, null and empty ones among
-    them, has no text_lang, gets lang_id "und" and isn't accepted; nor is one whose posterior is below min_posterior. A
-    null host is the host ""; a null declaration, or one of an unknown language, is evidence of its own kind. Ties go to
+    them, has no text_lang, gets lang_id "und" and isn't accepted; nor is one whose posterior is below min_posterior. The
+    posterior has an unknown alternative, a text of evenly spread trigrams: a text that it fits better than any language
+    has no text_lang and says nothing about its host, and where it wins by all evidence lang_id is "und". A null host is the host ""; a null declaration, or one of an unknown language, is evidence of its own kind. Ties go to
     the language that sorts first. Without profiles (an empty table) all is "und".
     """
     small_batches(rows.sparkSession)
@@ -125,7 +129,9 @@ def identify(rows: DataFrame, profiles: Profiles, min_posterior: float = 0.5) ->
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         return df.mapInArrow(score, f"{fields}, __n long, __ll array<double>")
 
-    best = lambda: F.when(F.col("__n") > 0, F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)
+    # Hosts and declarations say as much about a text of the unknown alternative as about one of the likeliest language.
+    unknown = F.least(F.col("__n").cast("double"), F.lit(float(EFFECTIVE))) * F.lit(UNKNOWN_LOG) + F.lit(float(np.log(UNKNOWN_PRIOR)))
+    best = lambda: F.when((F.col("__n") > 0) & (F.array_max("__ll") >= unknown), F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)
     host = F.coalesce(F.col("host"), F.lit(""))
     declared = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNull() | (F.col("declared") == ""), "").otherwise("?")
     # What all texts say, by host and declaration: no texts in it, and partial sums before the exchange.
@@ -160,11 +166,12 @@ def identify(rows: DataFrame, profiles: Profiles, min_posterior: float = 0.5) ->
     placed = joined.withColumn("__score", score_of).withColumn("__text", best())
     languages = F.array(*map(F.lit, names))
     top = F.array_max("__score")
-    posterior = F.lit(1.0) / F.aggregate("__score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    place = (F.array_position("__score", top) - 1).cast("int")
+    lead = unknown - F.get("__ll", place)
     some = F.col("__n") > 0
-    chosen = F.get(languages, (F.array_position("__score", top) - 1).cast("int"))
+    posterior = F.lit(1.0) / (F.aggregate("__score", F.lit(0.0), lambda a, x: a + F.exp(x - top)) + F.exp(lead))
     out = placed.withColumn("__posterior", F.when(some, posterior).otherwise(0.0))
-    return out.select(*base.columns, F.when(some, chosen).otherwise("und").alias("lang_id"), F.col("__posterior").alias("posterior"), F.get(languages, F.col("__text")).alias("text_lang"), (some & (F.col("__posterior") >= min_posterior)).alias("accepted"))
+    return out.select(*base.columns, F.when(some & (lead <= 0), F.get(languages, place)).otherwise("und").alias("lang_id"), F.col("__posterior").alias("posterior"), F.get(languages, F.col("__text")).alias("text_lang"), (some & (F.col("__posterior") >= min_posterior)).alias("accepted"))
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:

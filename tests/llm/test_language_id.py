@@ -79,6 +79,21 @@ def test_held_out_accuracy(spark):
     assert all(r.accepted for r in rows)
 
 
+def test_foreign_and_random_texts_are_rejected(spark):
+    r = random.Random(8)
+    foreign = [
+        "Все люди рождаются свободными и равными в своём достоинстве и правах",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki",
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(9)) for _ in range(40)),
+    ]
+    rows = corpus() + [(1000 + i, x, said, "www.h1.org", "") for i, x in enumerate(foreign) for said in ("en", None)]
+    df = frame(spark, rows)
+    told = {(r.doc_id, r.declared): r for r in L.identify(df, L.fit_profiles(frame(spark, corpus(seed=4)))).collect()}
+    assert all(r.accepted and r.lang_id == r.truth for (d, _), r in told.items() if d < 1000)
+    assert {(r.lang_id, r.text_lang, r.accepted) for (d, _), r in told.items() if d >= 1000} == {("und", None, False)}
+
+
 def test_evidence_beyond_the_text(spark):
     """A text that could be either is decided by its host, or by its declaration."""
     rows = [(i, "der und die das nicht mit sich", "de", "a.de", "") for i in range(60)] + [(100 + i, "the and of that with from which", "en", "b.com", "") for i in range(60)]
