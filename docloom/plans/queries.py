@@ -187,11 +187,12 @@ def reading_order(spark, sf_dir):
 
 
 def page_words(spark, sf_dir) -> DataFrame:
-    """The first words of documents, set in a grid of four columns."""
+    """All words of documents, set in a grid of four columns, 200 on a page."""
     docs = table(spark, sf_dir, "documents")
-    parts = docs.select("doc_id", F.posexplode(F.slice(F.split("text", r"\s+"), 1, 200)).alias("word_ix", "text"))
-    x, y = F.pmod(F.col("word_ix"), F.lit(4)) * 140.0 + 20, F.floor(F.col("word_ix") / 4) * 15.0 + 30
-    return parts.select("doc_id", F.lit(0).alias("page"), "word_ix", "text", x.alias("x0"), (x + 60).alias("x1"), y.alias("top"), (y + 10).alias("bottom"))
+    parts = docs.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("word_ix", "text"))
+    place = F.pmod(F.col("word_ix"), F.lit(200))
+    x, y = F.pmod(place, F.lit(4)) * 140.0 + 20, F.floor(place / 4) * 15.0 + 30
+    return parts.select("doc_id", F.floor(F.col("word_ix") / 200).cast("int").alias("page"), "word_ix", "text", x.alias("x0"), (x + 60).alias("x1"), y.alias("top"), (y + 10).alias("bottom"))
 
 
 def word_rows(spark, sf_dir):
@@ -203,7 +204,7 @@ def form_segments(spark, sf_dir):
 
 
 def region_text(spark, sf_dir):
-    found = page_words(spark, sf_dir)
+    found = page_words(spark, sf_dir).filter("page = 0")  # the SQL has regions of the first page, and no page in its rows
     regions = found.select("doc_id", "page").distinct().select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("region_id"))
     box = F.struct((F.col("region_id") * 280.0).alias("x"), F.lit(25.0).alias("y"), F.lit(250.0).alias("w"), F.lit(100.0).alias("h"))
     read = words.region_text(found, regions.withColumn("bbox", box))
