@@ -94,8 +94,7 @@ def chemistry_text(spark, sf_dir):
 
 
 def math_latex(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("$"))
-    return docs.select("doc_id", chemistry.column(math_text.plain_to_latex, F.col("text")).alias("latex"))
+    return table(spark, sf_dir, "documents").select("doc_id", chemistry.column(math_text.plain_to_latex, F.col("text")).alias("latex"))
 
 
 # Detection and converters

@@ -20,3 +20,8 @@ def test_every_word_is_in_a_row_of_some_page(spark, folder):
 
 def test_forms_hold_all_pages(spark, folder):
     assert {r.page for r in QUERIES["form_segments"](spark, folder).filter("doc_id = 0").collect()} == {0, 1, 2}
+
+
+def test_math_of_texts_without_dollars(spark, folder):
+    got = {r.doc_id: r.latex for r in QUERIES["math_latex"](spark, folder).collect()}
+    assert len(got) == 3 and "\\pi" in got[1] and got[2] == "$x$"
