@@ -25,6 +25,17 @@ SENTENCES = {
     "bsd.binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd.endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd.notice": ["licensed under the bsd license", "released under the bsd license", "licensed under the bsd 3 clause license", "released under the bsd 3 clause license"],
+    "apache2.obtain_as_is": [f"you may obtain a copy of the license at {p} www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied" for p in ("http", "https")],
+    "gpl.free": ["this program is free software"],
+    "gpl.later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2.later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl.terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl.either": ["either version 3 of the license or at your option any later version"],
+    "gpl2.either": ["either version 2 of the license or at your option any later version"],
+    "gpl.useful": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl.implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "mpl.form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl.copy": [f"if a copy of the mpl was not distributed with this file you can obtain one at {p} mozilla org mpl 2 0" for p in ("http", "https")],
     "gpl.redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl2.redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
     "gpl.hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
@@ -46,6 +57,7 @@ SENTENCES = {
 #: A licence and the identifiers that have to occur in this order, others between them or not. A longer rule of the same licence is the stronger one.
 RULES = [
     ("Apache-2.0", "text", ["apache2.notice", "apache2.may_not", "apache2.obtain", "apache2.as_is", "apache2.see"]),
+    ("Apache-2.0", "text", ["apache2.notice", "apache2.may_not", "apache2.obtain_as_is", "apache2.see"]),
     ("Apache-2.0", "notice", ["apache2.notice"]),
     ("MIT", "text", ["mit.grant", "mit.include", "mit.as_is", "mit.liability"]),
     ("MIT", "notice", ["mit.notice"]),
@@ -56,10 +68,15 @@ RULES = [
     ("BSD-3-Clause", "notice", ["bsd.notice"]),
     ("GPL-3.0-or-later", "text", ["gpl.redistribute", "gpl.hope", "gpl.details"]),
     ("GPL-2.0-or-later", "text", ["gpl2.redistribute", "gpl.hope", "gpl.details"]),
+    ("GPL-3.0-or-later", "text", ["gpl.free", "gpl.later", "gpl.useful", "gpl.implied", "gpl.details"]),
+    ("GPL-3.0-or-later", "text", ["gpl.free", "gpl.terms", "gpl.either", "gpl.useful", "gpl.implied", "gpl.details"]),
+    ("GPL-2.0-or-later", "text", ["gpl.free", "gpl2.later", "gpl.useful", "gpl.implied", "gpl.details"]),
+    ("GPL-2.0-or-later", "text", ["gpl.free", "gpl.terms", "gpl2.either", "gpl.useful", "gpl.implied", "gpl.details"]),
     ("GPL-3.0-only", "notice", ["gpl3.notice"]),
     ("GPL-2.0-only", "notice", ["gpl2.notice"]),
     ("LGPL-3.0-only", "notice", ["lgpl.notice"]),
     ("AGPL-3.0-only", "notice", ["agpl.notice"]),
+    ("MPL-2.0", "text", ["mpl.form", "mpl.copy"]),
     ("MPL-2.0", "notice", ["mpl.notice"]),
     ("Unlicense", "text", ["unlicense.domain", "unlicense.anyone"]),
     ("CC0-1.0", "notice", ["cc0.notice"]),
@@ -69,7 +86,7 @@ RULES = [
     ("Zlib", "text", ["zlib.as_is", "zlib.grant"]),
 ]
 #: Every known sentence holds one of these, so other sentences need no look-up.
-ANCHORS = "licen|permi|redistribut|warrant|public domain|cc0|cc by|neither the name|in no event|free to copy"
+ANCHORS = "licen|permi|redistribut|warrant|public domain|cc0|cc by|neither the name|in no event|free to copy|free software|mpl"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space, and a mark that ends a sentence before it.
