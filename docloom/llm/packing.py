@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, texts
+from .common import saved, small_batches
 from .sum_of_squares import pack
 from .word_encoder import word_encoder
 
@@ -36,30 +36,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     small_batches(docs.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
     schema = PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        width = 4 * capacity
         for batch in batches:
-            at: list[int] = []
-            rows: list[tuple[int, int, int, int]] = []
-            parts: list[bytes] = []
-            for i, ids in enumerate(encoder.batch(list(texts(batch.column(1))))):
-                ids += end
-                for k in range(0, len(ids), width):
-                    part = ids[k : k + width]
-                    at.append(i)
-                    rows.append((k // width, k // 4, len(part) // 4, zlib.crc32(part)))
-                    if with_ids:
-                        parts.append(part)
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))] if rows else []
-            if rows and with_ids:
-                offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype("int32")
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))))
-            if rows:
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            ids, bounds = encoder.encode(batch.column(1), end_id)
+            # Each document has end_id at least, so one piece at least.
+            pieces = -(-np.diff(bounds) // capacity)
+            doc = np.repeat(np.arange(len(pieces)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = bounds[doc] + piece * capacity
+            length = np.minimum(begin + capacity, bounds[doc + 1]) - begin
+            data = memoryview(ids.astype("<u4").tobytes())
+            crcs = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist())]
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length), pa.array(crcs, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, bounds[-1]), pa.int32()), pa.array(ids.astype("<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 

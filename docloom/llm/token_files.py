@@ -4,7 +4,7 @@ A store is a folder with two Parquet tables. `dictionary` has one row: the dicti
 id and the bytes of an id. `blocks` has a row for each run of documents in ascending doc_id: their ids, their numbers of
 tokens, the offsets of their frames (the index for short access) and the frames one behind the other, with the
 dictionary's hash. Spark commits both, so a lost executor leaves no half-written file, and any store Spark can write to
-will do. Dealing out goes by bounds of doc_id found in a pass over doc_id alone, so texts are encoded once and only frames
+will do. Dealing out goes by bounds of doc_id drawn in a pass over doc_id alone, so texts are encoded once and only frames
 are shuffled.
 """
 
@@ -18,26 +18,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import small_batches, texts
+from .common import small_batches, tokenizer_path
 from .word_encoder import word_encoder
 
-#: The dictionary is trained on about so many documents, and at most twice that, of each at most so many bytes of ids.
+#: The dictionary is trained on about so many documents, and at most twice that, of each at most so many bytes of ids, in
+#: slices from all over it.
 SAMPLE_DOCS = 1000
-SAMPLE_BYTES = 8192
+SAMPLE_BYTES, SAMPLE_SLICES = 8192, 8
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
-#: Documents of one output partition, and bounds of a block.
-PARTITION_DOCS = 10_000
+#: Documents of one output partition, up to so many partitions, beyond which they grow; sorting spills, so none has to fit into memory.
+PARTITION_DOCS, MOST_PARTITIONS = 10_000, 8000
+#: doc_ids drawn for each partition, from which its bounds are taken.
+SAMPLE_IDS = 100
+#: Bounds of a block.
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 1 << 20
 #: Least number of samples from which zstandard can train.
 LEAST_SAMPLES = 16
 
 
-def _stored(ids: bytes, width: int) -> bytes:
-    """Little-endian 32-bit ids as they are stored: 16-bit where the vocabulary allows."""
-    return ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes of a stored id: two where every id of the tokenizer, and end_id, fits into them."""
+    from tokenizers import Tokenizer
+
+    most = max([end_id, *Tokenizer.from_file(tokenizer_path(tokenizer)).get_vocab(with_added_tokens=True).values()])
+    return 2 if most < 1 << 16 else 4
 
 
 def _loaded(data: bytes, width: int) -> bytes:
@@ -63,41 +71,64 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
     return b"".join(samples)[:size]
 
 
+def spread_slices(data: bytes, most: int = SAMPLE_BYTES, slices: int = SAMPLE_SLICES) -> bytes:
+    """data, or of longer data so many slices that lie evenly over the whole of it, of most bytes together."""
+    if len(data) <= most:
+        return data
+    size = most // slices
+    return b"".join(data[at : at + size] for at in np.linspace(0, len(data) - size, slices).astype(int).tolist())
+
+
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, keep) -> DataFrame:
-    """keep(column of doc_id, list of stored id arrays) makes a batch."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """keep is a schema and a function whose result makes a batch of a column of doc_ids and a list of stored id arrays."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, made = word_encoder(tokenizer), keep[1]()
         for batch in batches:
-            yield made(batch.column(0), [_stored(ids + end, width) for ids in encoder.batch(list(texts(batch.column(1))))])
+            ids, bounds = encoder.encode(batch.column(1), end_id)
+            data, at = ids.astype(f"<u{width}").tobytes(), (bounds * width).tolist()
+            yield made(batch.column(0), [data[a:b] for a, b in zip(at, at[1:])])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encode, keep[0])
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_bytes: int = 2, docs_per_partition: int = PARTITION_DOCS) -> str:
+def part_bounds(docs: DataFrame, total: int, parts: int) -> np.ndarray:
+    """Bounds of doc_id that deal documents out into about equal parts, from a sample of SAMPLE_IDS ids for each part on average.
+
+    Only balance hangs on the sample. Rows are drawn one by one, so a doc_id with many rows is drawn as often as it weighs.
+    """
+    share = min(1.0, SAMPLE_IDS * parts / max(1, total))
+    drawn = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (F.rand(7) < share)).toArrow().column(0).to_numpy()
+    drawn = np.sort(drawn)
+    return np.unique(drawn[[len(drawn) * i // parts for i in range(1, parts)]]) if len(drawn) else drawn
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, docs_per_partition: int = PARTITION_DOCS) -> str:
     """Write a store of every document's ids and end_id at path; returns path.
 
-    docs: doc_id (a whole number) and text; other columns are left aside. Null text: an empty one, so end_id alone. Null
-    doc_ids come first; rows with the same doc_id stay apart, shorter ones first. An empty table gives a store without rows.
+    docs: doc_id (a whole number, else it is an error) and text; other columns are left aside. Null text: an empty one, so
+    end_id alone. Null doc_ids come first; rows with the same doc_id stay apart, shorter ones first. An empty table gives a
+    store without rows. An id takes two bytes where the tokenizer's largest one allows it, and four otherwise.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    total = docs.count()
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be a whole number")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total, width = docs.count(), id_width(tokenizer, end_id)
     share = min(1.0, SAMPLE_DOCS / max(1, total))
 
     def samples():
-        return lambda _, arrays: pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in arrays], pa.binary())], names=["ids"])
+        return lambda _, arrays: pa.RecordBatch.from_arrays([pa.array(list(map(spread_slices, arrays)), pa.binary())], names=["ids"])
 
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
-    got = [bytes(r.ids) for r in _encoded(chosen, tokenizer, end_id, id_bytes, ("ids binary", samples)).limit(2 * SAMPLE_DOCS).collect()]
+    got = [bytes(r.ids) for r in _encoded(chosen, tokenizer, end_id, width, ("ids binary", samples)).limit(2 * SAMPLE_DOCS).collect()]
     dictionary = train_dictionary(sorted(got))
     digest = hashlib.sha256(dictionary).hexdigest()
-    spark.createDataFrame([(digest, bytearray(dictionary), tokenizer, end_id, id_bytes)], "dictionary_sha256 string, dictionary binary, tokenizer string, end_id int, id_bytes int").coalesce(1).write.parquet(f"{path}/dictionary")
+    spark.createDataFrame([(digest, bytearray(dictionary), tokenizer, end_id, width)], "dictionary_sha256 string, dictionary binary, tokenizer string, end_id int, id_bytes int").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // docs_per_partition))
-    found = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("b")).first().b or []
-    bounds = np.array(sorted(set(found)), dtype=np.int64)
+    parts = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // docs_per_partition)))
+    bounds = part_bounds(docs, total, parts)
 
     def frames():
         import zstandard
@@ -106,11 +137,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def made(ids: pa.Array, arrays: list[bytes]) -> pa.RecordBatch:
             part = np.searchsorted(bounds, np.array([-(1 << 63) if x is None else x for x in ids.to_pylist()], dtype=np.int64)).astype("int32")
-            return pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array([len(x) // id_bytes for x in arrays], pa.int64()), pa.array([compressor.compress(x) for x in arrays], pa.binary())], names=["part", "doc_id", "n_tokens", "frame"])
+            return pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array([len(x) // width for x in arrays], pa.int64()), pa.array([compressor.compress(x) for x in arrays], pa.binary())], names=["part", "doc_id", "n_tokens", "frame"])
 
         return made
 
-    dealt = _encoded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer, end_id, id_bytes, ("part int, doc_id long, n_tokens long, frame binary", frames))
+    dealt = _encoded(docs, tokenizer, end_id, width, ("part int, doc_id long, n_tokens long, frame binary", frames))
     ordered = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "n_tokens", "frame")
 
     def block(part: int, number: int, start: int, rows: list[tuple]) -> pa.RecordBatch:

@@ -1,9 +1,10 @@
 """Ids of whole texts by a tokenizer that drops white space, with each distinct word encoded once.
 
 Between two ASCII white-space bytes such a tokenizer's ids depend on nothing outside, so a text's ids are those of its
-words in a row. Words repeat, so only those that aren't in the cache are encoded: words of Latin letters, with or without
-one closing point or comma, by the library's BPE model alone, since its normaliser only lower-cases them and its
-pre-tokenizer leaves them whole; all others by the whole library.
+words in a row. Words repeat, so a batch is split and its distinct words found in Arrow, and only those that aren't in the
+cache are encoded: words of Latin-1 letters, with or without closing marks, by the model's merges alone, since its
+normaliser only lower-cases them and its pre-tokenizer leaves them whole; all others by the whole library. The ids of a
+batch are then gathered from the cache in NumPy.
 """
 
 from __future__ import annotations
@@ -13,16 +14,24 @@ import os
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import tokenizer_path
+from .merging import Merger
 
-#: Words that the library encodes in one call.
-TOGETHER = 4000
+#: Words that are encoded in one call.
+TOGETHER = 20_000
 #: Words that each half of the cache keeps.
 KEEP = 400_000
 #: What may close a word of letters and is then a piece of its own: ASCII marks, without the apostrophe of contractions.
-CLOSING = bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27)
-#: Normalisers and splitter for which the short way holds.
+CLOSING = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27)
+#: Words of Latin-1 letters, which are lower-cased one by one and compose with nothing.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Bytes of the longest word that is merged here: each of its merges is a round. Longer ones go to the library.
+LONG = 64
+EMPTY = pa.array([""])
+#: Normalisers and splitter for which the short way holds (fixed values of the vocabulary's format).
 KNOWN = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -33,8 +42,46 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] for each start and size, one behind the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def strings(column: pa.Array) -> list[str]:
+    """A column's strings, none of them null; several times as fast as to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class Words:
+    """Ids of words: a number for each word, and the ids of number k at values[starts[k] : starts[k] + sizes[k]]."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.count, self.used = 0, 0
+        self.starts, self.sizes, self.values = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """words that aren't held, with their ids one behind the other."""
+        n, m = self.count + len(words), self.used + len(ids)
+        if n > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
+        if m > len(self.values):
+            self.values = np.resize(self.values, 2 * m)
+        self.starts[self.count : n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : n] = sizes
+        self.values[self.used : m] = ids
+        self.numbers.update(zip(words, range(self.count, n)))
+        self.count, self.used = n, m
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one behind the other, and how many each has."""
+        sizes = self.sizes[numbers]
+        return gathered(self.values, self.starts[numbers], sizes), sizes
+
+
 class WordEncoder:
-    """bytes of little-endian unsigned 32-bit ids for whole texts; equal to the library's encode(text, add_special_tokens=False)."""
+    """Ids of whole texts, equal to the library's encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str, keep: int = KEEP):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,17 +90,8 @@ class WordEncoder:
         said = json.loads(Path(tokenizer_path(path)).read_text())
         self.library = Tokenizer.from_str(json.dumps(said))
         self.keep = keep
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
-        self.letters = {i: x for i, x in byte_letters().items() if i > 0x7F}
-        if self._known(said):
-            suffix = said["model"]["end_of_word_suffix"]
-            self.model = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-            self.ends = np.zeros(max(said["model"]["vocab"].values()) + 1, dtype=bool)
-            self.ends[[i for x, i in said["model"]["vocab"].items() if x.endswith(suffix)]] = True
-        else:
-            self.model = None
+        self.young, self.old = Words(), Words()
+        self.merger = Merger(said["model"], byte_letters()) if self._known(said) else None
 
     @staticmethod
     def _known(said: dict) -> bool:
@@ -64,85 +102,71 @@ class WordEncoder:
             return False
         return found == KNOWN and bool(said["model"].get("end_of_word_suffix"))
 
-    def _alone(self, word: bytes) -> bytes:
-        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _letters(self, word: bytes) -> str:
-        """The word's bytes as byte-level BPE writes them."""
-        return word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Lower-case words of Latin letters by the model alone; the words' last tokens, and no others, end with its suffix."""
-        out = {}
-        for i in range(0, len(words), TOGETHER):
-            part = words[i : i + TOGETHER]
-            ids = np.array(self.model.encode([self._letters(w) for w in part], is_pretokenized=True, add_special_tokens=False).ids, dtype="<u4")
-            data, start = ids.tobytes(), 0
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(ends) != len(part):
-                out.update((w, self._alone(w)) for w in part)
-                continue
-            for w, end in zip(part, ends):
-                out[w] = data[start:end]
-                start = end
+    def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64)
+
+    def _by_merges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of lower-case words of Latin-1 letters, at most LONG bytes each."""
+        column = pa.array(words, pa.string())
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(words) + 1)
+        return self.merger.encode(np.frombuffer(column.buffers()[2], dtype=np.uint8, count=offsets[-1]), np.diff(offsets))
+
+    def _numbers(self, words: pa.Array, encode) -> np.ndarray:
+        """The cache's numbers of distinct words; those that it lacks come from its older half, or are encoded."""
+        listed, held = strings(words), self.young.numbers
+        found = list(map(held.get, listed))
+        missing = [w for w, n in zip(listed, found) if n is None]
+        if missing:
+            old = self.old.numbers
+            if known := [w for w in missing if w in old]:
+                self.young.add(known, *self.old.ids(np.array([old[w] for w in known])))
+                missing = [w for w in missing if w not in old]
+            for i in range(0, len(missing), TOGETHER):
+                part = missing[i : i + TOGETHER]
+                self.young.add(part, *encode(part))
+            found = list(map(held.__getitem__, listed))
+        return np.array(found, dtype=np.int64)
+
+    def _all_numbers(self, words: pa.Array) -> np.ndarray:
+        """For each of distinct words, the numbers of its letters and of the marks that close it; one of them may be that of the empty word."""
+        bases = pc.ascii_rtrim(words, characters=CLOSING)
+        plain = pc.and_(pc.match_substring_regex(bases, PLAIN), pc.less_equal(pc.binary_length(bases), LONG))
+        out = np.zeros((len(words), 2), dtype=np.int64)
+        at, bases, own = np.flatnonzero(plain), bases.filter(plain), words.filter(plain)
+        lower = pc.utf8_lower(bases).dictionary_encode()
+        out[at, 0] = self._numbers(lower.dictionary, self._by_merges)[lower.indices.to_numpy()]
+        # What is behind the letters is ASCII, and most words have nothing there.
+        tails = pc.binary_length(own).to_numpy() - pc.binary_length(bases).to_numpy()
+        closed = np.flatnonzero(tails)
+        marks = pa.array([w[-n:] for w, n in zip(strings(own.take(pa.array(closed))), tails[closed].tolist())], pa.string()).dictionary_encode()
+        out[at, 1] = self._numbers(EMPTY, self._by_library)[0]
+        out[at[closed], 1] = self._numbers(marks.dictionary, self._by_library)[marks.indices.to_numpy()]
+        others = np.flatnonzero(pc.invert(plain))
+        out[others, 0] = self._numbers(words.take(pa.array(others)), self._by_library)
+        out[others, 1] = self._numbers(EMPTY, self._by_library)[0]
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
-        young, old, tails = self.young, self.old, self.tails
-        closed: list[tuple[bytes, bytes, bytes]] = []
-        missing: set[bytes] = set()
-        for w in words:
-            if w in old:
-                young[w] = old[w]
-                continue
-            base = w.rstrip(CLOSING)
-            if self.model is None or not (base.isalpha() and base.islower() or _is_latin(base)):
-                young[w] = self._alone(w)
-                continue
-            if base is not w and base != w:
-                closed.append((w, base, w[len(base) :]))
-                if base in young or base in old:
-                    continue
-            missing.add(base)
-        young.update(self._encode(list(missing)))
-        for w, base, tail in closed:
-            if tail not in tails:
-                if len(tails) > self.keep:
-                    tails.clear()
-                    tails[b""] = b""
-                tails[tail] = self._alone(tail)
-            young[w] = (young[base] if base in young else old[base]) + tails[tail]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        split = [self._lowered(text).encode().split() for text in texts]
-        young = self.young
-        if missing := set().union(*split).difference(young):
-            self._learn(missing)
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
-        if len(young) > self.keep:
-            self.old, self.young = young, {}
-        return out
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of all texts one behind the other, each closed by end_id if that is given, and the bounds of each text's: one more than texts. Nulls count as empty."""
+        texts = pc.fill_null(texts, "")
+        if self.merger is None:
+            ids, sizes = self._by_library(strings(texts))
+            return self._closed(ids, np.concatenate([[0], np.cumsum(sizes)]), end_id)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        if len(self.young.numbers) > self.keep:
+            self.old, self.young = self.young, Words()
+        numbers = self._all_numbers(coded.dictionary)[coded.indices.to_numpy()]
+        ids, sizes = self.young.ids(numbers.ravel())
+        at = np.concatenate([[0], np.cumsum(sizes.reshape(-1, 2).sum(axis=1))])
+        return self._closed(ids, at[split.offsets.to_numpy() - split.offsets[0].as_py()], end_id)
 
-    def _lowered(self, text: str) -> str:
-        """Fewer distinct words: Latin-1 letters are lower-cased one by one and compose with nothing."""
-        if self.model is None or "<|" in text:
-            return text
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text.lower()
-
-
-def _is_latin(word: bytes) -> bool:
-    """Lower-case Latin-1 letters only."""
-    try:
-        text = word.decode()
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return text.isalpha() and text == text.lower()
+    @staticmethod
+    def _closed(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if end_id is None:
+            return ids, bounds
+        return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -9,7 +10,7 @@ from docloom.llm.common import shared_path, tokenizer_path
 from docloom.llm.packing import pack_documents, pack_pieces, token_pieces
 from docloom.llm.sum_of_squares import pack
 from docloom.llm.token_counts import TokenCounter, count_tokens
-from docloom.llm.token_files import read_token_files, train_dictionary, write_token_files
+from docloom.llm.token_files import id_width, part_bounds, read_token_files, spread_slices, train_dictionary, write_token_files
 from docloom.llm.word_encoder import WordEncoder
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -32,8 +33,27 @@ def test_word_encoder_is_the_library(texts):
     for keep in (10, 400_000):
         encoder = WordEncoder(WORDS, keep)
         for i in range(0, len(texts), 50):
-            for text, ids in zip(texts[i : i + 50], encoder.batch(texts[i : i + 50])):
-                assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+            ids, bounds = encoder.encode(pa.array([None, *texts[i : i + 50]]).slice(1))
+            for text, a, b in zip(texts[i : i + 50], bounds, bounds[1:]):
+                assert ids[a:b].tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_word_encoder_on_words_of_all_lengths():
+    r = random.Random(4)
+    lib, encoder = library(WORDS), WordEncoder(WORDS)
+    made = ["".join(r.choice("eeeaationrsl" + "éüñßÀÉx") for _ in range(r.randrange(1, 90))) + r.choice(["", "", ".", "...", "),", "!?"]) for _ in range(6000)]
+    made += ["a" * n for n in range(1, 80)] + ["ab" * n for n in range(1, 40)] + ["the", "The", "THE", "the.", ".", "***", "the's", "l'a"]
+    ids, bounds = encoder.encode(pa.array(made), 1)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*e.ids, 1] for e in lib.encode_batch(made, add_special_tokens=False)]
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == [0] and encoder.encode(pa.array([None, ""]), 1)[0].tolist() == [1, 1]
+
+
+def test_another_tokenizer_goes_to_the_library(texts):
+    """One whose format the short way doesn't know: whole texts, white space and all."""
+    lib, encoder = library(BYTES), WordEncoder(BYTES)
+    assert encoder.merger is None
+    ids, bounds = encoder.encode(pa.array(texts[:200]))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in lib.encode_batch(texts[:200], add_special_tokens=False)]
 
 
 def test_token_counter_is_the_library(texts):
@@ -170,3 +190,38 @@ def test_another_dictionary_is_refused(spark):
     spark.read.parquet(f"{other}/dictionary").write.parquet(f"{mixed}/dictionary")
     with pytest.raises(Exception, match="another dictionary"):
         read_token_files(spark, mixed).collect()
+
+
+def wide_tokenizer(folder):
+    """A word tokenizer of 70,000 words, so that ids outgrow 16 bits."""
+    from tokenizers import models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(folder / "wide.json")
+    made.save(path)
+    return path
+
+
+def test_ids_beyond_16_bits_are_stored_whole(spark, tmp_path):
+    path = wide_tokenizer(tmp_path)
+    assert id_width(path, 1) == 4 and id_width(WORDS, 1) == 2 and id_width(WORDS, 1 << 16) == 4
+    df = spark.createDataFrame([(1, "w69999 w5 w65536"), (2, None)], "doc_id int, text string")
+    store = write_token_files(df, shared_path(spark, "t"), path)
+    assert {r.doc_id: r.ids for r in read_token_files(spark, store, with_ids=True).collect()} == {1: [69999, 5, 65536, 1], 2: [1]}
+    with pytest.raises(TypeError):
+        write_token_files(spark.createDataFrame([("a", "b")], "doc_id string, text string"), shared_path(spark, "t"), WORDS)
+
+
+def test_sample_slices_lie_all_over():
+    data = bytes(range(256)) * 400
+    some = spread_slices(data, 800, 8)
+    assert len(some) == 800 and some[:100] == data[:100] and some[-100:] == data[-100:] and spread_slices(b"abc") == b"abc"
+
+
+def test_parts_are_even_with_a_hot_doc_id(spark):
+    rows = [(i,) for i in range(3000)] + [(1500,)] * 1500 + [(None,)]
+    bounds = part_bounds(spark.createDataFrame(rows, "doc_id long"), len(rows), 9)
+    sizes = np.bincount(np.searchsorted(bounds, [d for (d,) in rows if d is not None]), minlength=len(bounds) + 1)
+    assert sizes.max() < 2600 and sorted(sizes)[-2] < 1000
+    assert len(part_bounds(spark.createDataFrame([], "doc_id long"), 0, 9)) == 0
