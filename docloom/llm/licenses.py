@@ -19,7 +19,7 @@ SENTENCES = {
     "mit.liability": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
     "isc.grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "isc.grant0": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "isc.disclaim": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc.disclaim": ["the software is provided as is and isc disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
     "bsd.grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd.source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd.binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
@@ -54,7 +54,7 @@ SENTENCES = {
     "zlib.as_is": ["this software is provided as is without any express or implied warranty"],
     "zlib.grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
 }
-#: A licence and the identifiers that have to occur in this order, others between them or not. A longer rule of the same licence is the stronger one.
+#: A licence and the identifiers that have to occur in this order, others between them or not.
 RULES = [
     ("Apache-2.0", "text", ["apache2.notice", "apache2.may_not", "apache2.obtain", "apache2.as_is", "apache2.see"]),
     ("Apache-2.0", "text", ["apache2.notice", "apache2.may_not", "apache2.obtain_as_is", "apache2.see"]),
@@ -88,9 +88,11 @@ RULES = [
 #: Every known sentence holds one of these, so other sentences need no look-up.
 ANCHORS = "licen|permi|redistribut|warrant|public domain|cc0|cc by|neither the name|in no event|free to copy|free software|mpl"
 
+#: A line that belongs to no sentence: one without letters and digits, a line of copyright, or the reservation of rights.
+BREAK = r"^[^a-z0-9]*$|^[^a-z0-9]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9]|©|all rights reserved[^a-z0-9]*$)"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: ASCII white space, and a mark that ends a sentence before it.
-SPACE = r"[ \t\n\x0B\f\r]+"
+#: A mark that ends a sentence, and the white space behind it.
 END = r"([.!?:;])[ \t\n\x0B\f\r]+"
 
 
@@ -103,48 +105,70 @@ def _identifiers(sentences: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat(F.lit("|"), F.array_join(found, "||"), F.lit("|"))).otherwise("")
 
 
-def _matches(ids: Column) -> Column:
-    return F.filter(F.array(*(F.when(ids.like("%" + "%".join(f"|{x}|" for x in rule) + "%"), F.lit(f"{name}:{kind}")) for name, kind, rule in RULES)), lambda x: x.isNotNull())
+def _holds(ids: Column, rule: list[str]) -> Column:
+    return ids.like("%" + "%".join(f"|{x}|" for x in rule) + "%")
+
+
+def _within(short: list[str], long: list[str]) -> bool:
+    """All of short occur in long, in this order."""
+    rest = iter(long)
+    return all(x in rest for x in short)
+
+
+#: For each rule, the longer ones that hold wherever it is a part of them: where one of these holds, it says no more.
+STRONGER = [[j for j, (_, _, long) in enumerate(RULES) if len(long) > len(short) and _within(short, long)] for _, _, short in RULES]
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs with sentence_ids (joined by commas), n_sentences and licenses (sorted, each once, joined by commas).
 
-    A text is cut into sentences twice: at line ends and after . ! ? : ; before white space, and at these marks alone, with
-    line ends as spaces, for sentences that are broken over lines; a rule has to hold in one of the two orders.
-    sentence_ids are those of the first, or of the second where the first has fewer. A match is named licence:text for a
-    rule of a whole licence text or file header and licence:notice for one of a short notice. Null and empty texts: no
-    sentences and no licences. Rows stay apart; other columns of docs stay, but those named as the new ones. One pass,
-    no shuffle.
+    A text is cut into sentences twice: by lines, at line ends and after . ! ? : ; before white space; and by paragraphs,
+    where a sentence may run over lines: empty lines (but for comment marks) and lines of copyright part paragraphs, the same
+    marks sentences. A rule has to hold in one of the two orders; one that is a part of another that holds isn't named, as the
+    two-clause BSD licence within the three-clause one. sentence_ids are those of the lines, or of the paragraphs where the
+    lines have fewer. A match is named licence:text for a rule of a whole licence text or file header and licence:notice for
+    one of a short notice. Null and empty texts: no sentences and no licences. Rows stay apart; other columns of docs stay,
+    but those named as the new ones. One pass, no shuffle.
     """
-    new = ["sentence_ids", "n_sentences", "licenses"]
+    new = ["sentence_ids", "n_sentences", "licenses", "__a", "__b", "__held"]
     rest = [c for c in docs.columns if c.lower() not in new]
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     lines = F.split(F.regexp_replace(text, END, "$1\n"), "\n")
-    whole = F.split(F.regexp_replace(F.regexp_replace(text, SPACE, " "), END, "$1\n"), "\n")
-    likely = text.rlike(ANCHORS.replace(" ", SPACE))
-    some = docs.select(*rest, F.when(likely, _identifiers(lines)).otherwise("").alias("__a"), F.when(likely, _identifiers(whole)).otherwise("").alias("__b"))
+    joined = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.when(line.rlike(BREAK), "\n").otherwise(line)), " ")
+    paragraphs = F.split(F.regexp_replace(joined, END, "$1\n"), "\n")
+    likely = text.rlike(ANCHORS.replace(" ", "[^a-z0-9]+"))
+    some = docs.select(*rest, F.when(likely, _identifiers(lines)).otherwise("").alias("__a"), F.when(likely, _identifiers(paragraphs)).otherwise("").alias("__b"))
     n = lambda c: F.regexp_count(c, F.lit(r"\|[^|]+\|"))
     more = F.when(n(F.col("__b")) > n(F.col("__a")), F.col("__b")).otherwise(F.col("__a"))
-    named = F.array_sort(F.array_distinct(F.concat(_matches(F.col("__a")), _matches(F.col("__b")))))
-    return some.select(*rest, F.replace(F.btrim(more, F.lit("|")), F.lit("||"), F.lit(",")).alias("sentence_ids"), n(more).cast("long").alias("n_sentences"), F.array_join(named, ",").alias("licenses"))
+    held = some.withColumn("__held", F.when((F.col("__a") != "") | (F.col("__b") != ""), F.array(*(_holds(F.col("__a"), rule) | _holds(F.col("__b"), rule) for _, _, rule in RULES))))
+    own = [F.get("__held", F.lit(i)) & ~F.exists(F.array(*(F.get("__held", F.lit(j)) for j in above)), lambda x: x) if above else F.get("__held", F.lit(i)) for i, above in enumerate(STRONGER)]
+    named = F.filter(F.array(*(F.when(x, F.lit(f"{name}:{kind}")) for x, (name, kind, _) in zip(own, RULES))), lambda x: x.isNotNull())
+    licenses = F.when(F.col("__held").isNull(), "").otherwise(F.array_join(F.array_sort(F.array_distinct(named)), ","))
+    return held.select(*rest, F.replace(F.btrim(more, F.lit("|")), F.lit("||"), F.lit(",")).alias("sentence_ids"), n(more).cast("long").alias("n_sentences"), licenses.alias("licenses"))
 
 
 def oracle(table: str = "documents") -> str:
-    """The same in DuckDB's SQL, for doc_id."""
+    """The same in DuckDB's SQL, for doc_id, said by rows: lines numbered in their paragraphs, and sentences joined with the known ones."""
     known = ", ".join(f"('{form}', '{name}')" for name, forms in SENTENCES.items() for form in forms)
-    hits = lambda c: ", ".join(f"CASE WHEN {c} LIKE '%{'%'.join(f'|{x}|' for x in rule)}%' THEN '{name}:{kind}' END" for name, kind, rule in RULES)
-    cut = lambda t: rf"string_split(regexp_replace({t}, '([.!?:;])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), chr(10))"
+    rules = ", ".join(f"({k}, '{name}:{kind}', '%{'%'.join(f'|{x}|' for x in rule)}%')" for k, (name, kind, rule) in enumerate(RULES))
+    blank = BREAK.replace("'", "''")
     return rf"""
 WITH known(form, name) AS (VALUES {known}),
+rules(k, title, chain) AS (VALUES {rules}),
 base AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM {table}),
-cut AS (SELECT r, 'a' AS way, {cut("t")} AS s FROM base
-        UNION ALL SELECT r, 'b', {cut(r"regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g')")} FROM base),
-said AS (SELECT r, way, unnest(range(len(s))) AS i, trim(regexp_replace(unnest(s), '[^a-z0-9]+', ' ', 'g')) AS form FROM cut),
-found AS (SELECT r, way, count(*) AS n, '|' || string_agg(name, '||' ORDER BY i) || '|' AS ids FROM said JOIN known USING (form) GROUP BY r, way),
-both_ways AS (SELECT b.doc_id, coalesce(x.ids, '') AS a, coalesce(y.ids, '') AS b, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb
-         FROM base b LEFT JOIN found x ON x.r = b.r AND x.way = 'a' LEFT JOIN found y ON y.r = b.r AND y.way = 'b')
-SELECT doc_id, replace(trim(CASE WHEN nb > na THEN b ELSE a END, '|'), '||', ',') AS sentence_ids,
-       CAST(greatest(na, nb) AS BIGINT) AS n_sentences,
-       array_to_string(list_sort(list_distinct(list_filter([{hits("a")}, {hits("b")}], lambda x: x IS NOT NULL))), ',') AS licenses
-FROM both_ways"""
+lines AS (SELECT r, unnest(range(len(s))) AS i, unnest(s) AS l FROM (SELECT r, string_split(t, chr(10)) AS s FROM base)),
+parts AS (SELECT r, i, l, gap, sum(gap) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT *, CAST(regexp_matches(l, '{blank}') AS INT) AS gap FROM lines)),
+units AS (SELECT r, 'lines' AS way, i AS p, l AS t FROM lines
+          UNION ALL SELECT r, 'paragraphs', p, string_agg(l, ' ' ORDER BY i) FROM parts WHERE gap = 0 GROUP BY r, p),
+cut AS (SELECT r, way, p, unnest(range(len(s))) AS j, unnest(s) AS x FROM (SELECT r, way, p, string_split_regex(regexp_replace(t, '([.!?:;])[ 	
+
+]+', '' || chr(10), 'g'), '
+') AS s FROM units)),
+found AS (SELECT r, way, name, row_number() OVER (PARTITION BY r, way ORDER BY p, j) AS place FROM cut JOIN known ON known.form = trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))),
+lists AS (SELECT r, way, count(*) AS n, string_agg(name, ',' ORDER BY place) AS ids, '|' || string_agg(name, '||' ORDER BY place) || '|' AS all_ids FROM found GROUP BY r, way),
+held AS (SELECT DISTINCT r, k, title FROM lists JOIN rules ON all_ids LIKE chain),
+above(k, over) AS (VALUES {", ".join(f"({i}, {j})" for i, own in enumerate(STRONGER) for j in own)}),
+said AS (SELECT r, string_agg(DISTINCT title, ',' ORDER BY title) AS licenses FROM held h ANTI JOIN (SELECT o.r, a.k FROM above a JOIN held o ON o.k = a.over) USING (r, k) GROUP BY r)
+SELECT doc_id, coalesce(CASE WHEN coalesce(y.n, 0) > coalesce(x.n, 0) THEN y.ids ELSE x.ids END, '') AS sentence_ids,
+       CAST(greatest(coalesce(x.n, 0), coalesce(y.n, 0)) AS BIGINT) AS n_sentences, coalesce(licenses, '') AS licenses
+FROM base LEFT JOIN lists x ON x.r = base.r AND x.way = 'lines' LEFT JOIN lists y ON y.r = base.r AND y.way = 'paragraphs' LEFT JOIN said ON said.r = base.r"""

@@ -85,14 +85,14 @@ _KEY = f"translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr
 SQL: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
     "op6_line_dedup": f"""
-WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
-said AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS l FROM cut),
-keyed AS (SELECT doc_id, i, l, {_KEY} AS k FROM said),
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+said AS (SELECT r, doc_id, unnest(range(len(s))) AS i, unnest(s) AS l FROM cut),
+keyed AS (SELECT r, doc_id, i, l, {_KEY} AS k FROM said),
 common AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-marked AS (SELECT doc_id, i, l, c.k IS NOT NULL AND doc_id < c.last AS gone FROM keyed LEFT JOIN common c USING (k))
+marked AS (SELECT r, doc_id, i, l, c.k IS NOT NULL AND doc_id < c.last AS gone FROM keyed LEFT JOIN common c USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id""",
+FROM marked GROUP BY r, doc_id""",
     "op7_decontamination": r"""
 WITH fold AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 items AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),

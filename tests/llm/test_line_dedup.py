@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from docloom.llm.line_dedup import dedup_lines
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -35,6 +37,13 @@ def test_against_brute_force(spark):
     assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_rows_of_one_doc_id_keep_their_own_lines(spark):
+    """Two texts under one doc_id: the common line stands at another place in each, or in one of them only."""
+    common = "this line stands in more than five documents of the table"
+    rows = [(i, common) for i in range(10, 16)] + [(1, f"a\nb\n{common}"), (1, "x\ny\nPRECIOUS and all its own line of over forty characters"), (1, f"{common}\nz"), (1, None), (1, f"a\nb\n{common}")]
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_threshold_counts_code_points_of_the_key(spark):
     forty, thirty_nine = "é" * 40, "é" * 39
     rows = [(i, f"{forty}\n  {thirty_nine}  \n{forty}") for i in range(5)]
@@ -45,7 +54,7 @@ def test_threshold_counts_code_points_of_the_key(spark):
 
 def test_empty_table_and_clashing_columns(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    df = spark.createDataFrame([(1, "a", 7, "k", "x")], "doc_id long, text string, n_lines int, lost string, extra string")
+    df = spark.createDataFrame([(1, "a", 7, "k", "x")], "doc_id long, text string, n_lines int, lost string, extra string").withColumns({"__row": F.lit(1), "__lines": F.lit(2)})
     row = dedup_lines(df).first()
     assert (row.n_lines, row.kept_text, row.extra) == (1, "a", "x")
 
