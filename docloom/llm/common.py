@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,26 +12,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch that goes to Python: texts may be long, so a batch of the default 10,000 rows may be large.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once. Lowers the session's batch size, never raises it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound what a Python worker holds at once, in rows and in bytes (one row may be longer).
+
+    Spark reads both settings when a plan runs, so they can't be restored before that: they stay lowered for the session,
+    and are never raised.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only where all runs in one process may it be unset: a temporary folder then."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -50,6 +58,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete what saved() wrote for df, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+        if os.path.basename(folder).startswith("docloom-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies, on the machine that asks."""
     if os.path.isabs(name):

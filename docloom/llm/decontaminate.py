@@ -1,26 +1,30 @@
 """Benchmark decontamination: one Aho-Corasick automaton of the benchmark's word windows over each whole text.
 
-The windows are gathered at the driver, in blocks of bounded size: each block is one automaton, and a benchmark of more
-than one block passes the texts through one automaton after the other in the same task. Texts are never shuffled.
+The automaton reads two letters for each word, the word's number among the benchmark's words, so it has a third of the nodes
+that the words' own letters would need. A benchmark beyond BLOCK_BYTES is dealt into blocks: the driver holds the items of one
+block at a time, a worker one automaton, and the texts are scanned once for each block, with the hits written out between.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import saved, small_batches, texts
 
-#: Bytes of normalised items that go into one automaton; a benchmark below it is one block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of items that go into one automaton, of about 100 bytes each; a benchmark below it is one block.
+BLOCK_BYTES = 1 << 20
 #: ASCII that belongs to words: digits and letters, lower-cased; the rest of ASCII parts words, and all else belongs to them.
 FOLD = bytes(x if chr(x).isdigit() or 0x61 <= x <= 0x7A or x > 0x7F else x + 32 if 0x41 <= x <= 0x5A else 0x20 for x in range(256))
+#: What stands for a word that no item has.
+UNKNOWN = "\x01\x02"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -28,25 +32,27 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], size: int) -> list[str]:
-    """Runs of size words; of fewer words, but not none, the one run of all."""
-    return [b" ".join(words[i : i + size]).decode() for i in range(max(1, len(words) - size + 1))] if words else []
-
-
 class Scanner:
-    """One automaton over the windows of some items."""
+    """One automaton over the windows of some items.
+
+    A word's number is written with two letters of alphabets that share none, so a window can only match at words' starts.
+    """
 
     def __init__(self, items: list[tuple[str, str]], size: int):
         import ahocorasick
 
+        cut = [(item, words_of(text)) for item, text in items]
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in cut for w in words))}
+        base = isqrt(len(known)) + 1
+        self.written = {w: chr(0x100 + i // base) + chr(0x4000 + i % base) for w, i in known.items()}
         held: dict[str, set[str]] = {}
-        for item, text in items:
-            for window in windows_of(words_of(text), size):
-                held.setdefault(window, set()).add(item)
+        for item, words in cut:
+            line = "".join(map(self.written.__getitem__, words))
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                held.setdefault(line[2 * i : 2 * (i + size)], set()).add(item)
         self.automaton = ahocorasick.Automaton()
         for window, own in held.items():
-            # Word boundaries are spaces on either side of both the window and the text.
-            self.automaton.add_word(f" {window} ", (window.count(" ") + 1, len(window) + 2, tuple(own)))
+            self.automaton.add_word(window, (len(window) // 2, tuple(own)))
         self.empty = not held
         if held:
             self.automaton.make_automaton()
@@ -55,18 +61,13 @@ class Scanner:
         """Merged runs [from, to) of hit words, and the items whose windows occur."""
         if self.empty or not words:
             return [], set()
-        line = f" {b' '.join(words).decode()} "
-        starts: list[int] = []
+        written = self.written.get
+        line = "".join([written(w, UNKNOWN) for w in words])
         runs: list[tuple[int, int]] = []
         items: set[str] = set()
-        for end, (n, length, own) in self.automaton.iter(line):
-            if not starts:  # only texts with hits pay for offsets
-                at = 1
-                for w in words:
-                    starts.append(at)
-                    at += len(w.decode()) + 1
-            first = bisect_right(starts, end - length + 2) - 1
-            runs.append((first, first + n))
+        for end, (n, own) in self.automaton.iter(line):
+            last = end // 2 + 1
+            runs.append((last - n, last))
             items.update(own)
         return merged(runs), items
 
@@ -90,22 +91,36 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(len(data[: found[a][0]].decode()), len(data[: found[b - 1][1]].decode())) for a, b in runs]
 
 
-_SCANNERS: dict[str, list[Scanner]] = {}
+#: The automaton that a worker holds, by its items.
+_SCANNER: dict[str, Scanner] = {}
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks, read partition by partition; an item longer than a block is one of its own."""
-    rows = benchmark.filter(F.col("item_id").isNotNull() & (F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))) > 0))
-    out: list[list[tuple[str, str]]] = []
-    held = block_bytes
-    for row in rows.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        size = len(row[1].encode())
-        if held + size > block_bytes:
-            out.append([])
-            held = 0
-        out[-1].append((row[0], row[1]))
-        held += size
-    return out
+def _scanner(key: str, items: list[tuple[str, str]], window: int) -> Scanner:
+    if key not in _SCANNER:
+        _SCANNER.clear()
+        _SCANNER[key] = Scanner(items, window)
+    return _SCANNER[key]
+
+
+RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _hits(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+    """For each text with hits: two hashes of it, the runs of hit words and the items."""
+    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(key, sent.value, window)
+        for batch in batches:
+            found = [(i, *scanner.scan(words_of(x))) for i, x in enumerate(texts(batch.column(2)))]
+            found = [x for x in found if x[1]]
+            at = pa.array([i for i, _, _ in found], pa.int64())
+            runs = pa.array([[{"first": a, "last": b} for a, b in r] for _, r, _ in found], RUNS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), runs, pa.array([sorted(own) for _, _, own in found], pa.list_(pa.string()))], names=["a", "b", "runs", "items"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), text.alias("text")).mapInArrow(scan, "a long, b long, runs array<struct<first: long, last: long>>, items array<string>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -115,40 +130,51 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     hit if it lies inside any occurrence of a window: window consecutive words of an item (item_id, text); an item of fewer
     words, but not none, is one window. Null and empty texts have no words; items with null item_id or text have no
     windows; items with the same id are one. Repeated rows of docs stay apart; its other columns stay, but those named as
-    the new ones. Empty tables: no rows, or no hits.
+    the new ones. Empty tables: no rows, or no hits. A benchmark of one block is scanned lazily in one pass; of more, each
+    block is a job of its own. An item has to fit into a worker's memory, whatever the blocks.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = _blocks(benchmark, block_bytes)
-    key = hashlib.sha256(repr((window, blocks)).encode()).hexdigest()
-    sent = spark.sparkContext.broadcast(blocks)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null and octet_length(coalesce(text, '')) > 0")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("n")).first().n
+    blocks = max(1, -(-size // block_bytes))
     new = ["n_words", "n_hit", "n_items", "item_ids", "leak_spans"]
-    base = docs.select(*(c for c in docs.columns if c.lower() not in new))
-    at = [c.lower() for c in base.columns].index("text")
+    base = docs.select(*(c for c in docs.columns if c.lower() not in {*new, "__a", "__b", "__runs", "__items"}))
+    columns = base.columns
+    at = [c.lower() for c in columns].index("text")
     ours = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.string())), ("leak_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCANNERS:
-            _SCANNERS.clear()
-            _SCANNERS[key] = [Scanner(items, window) for items in sent.value]
-        scanners = _SCANNERS[key]
+    if blocks == 1:
+        held = sorted((r.item, r.text) for r in items.collect())
+        key = hashlib.sha256(repr((window, held)).encode()).hexdigest()
+        sent = spark.sparkContext.broadcast(held)  # block_bytes at most
+        read = base
+    else:
+        sent, parts = None, []
+        for k in range(blocks):  # one block after the other: the driver and the workers hold one at a time
+            held = sorted((r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect())
+            parts.append(saved(_hits(base, held, window), "hits"))
+        every = reduce(DataFrame.unionByName, parts)
+        merged_hits = saved(every.groupBy(F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.flatten(F.collect_set("runs")).alias("__runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items")), "hits")
+        text = F.col("text").cast("string")
+        read = base.join(merged_hits, (F.xxhash64(text) == F.col("__a")) & (F.xxhash64(F.lit(1), text) == F.col("__b")), "left").select(*columns, "__runs", "__items")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(key, sent.value, window) if sent is not None else None
         for batch in batches:
             rows = []
-            for text in texts(batch.column(at)):
+            given = [((), ())] * batch.num_rows if scanner else zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist())
+            for text, (runs, own) in zip(texts(batch.column(at)), given):
                 words = words_of(text)
-                runs: list[tuple[int, int]] = []
-                items: set[str] = set()
-                for scanner in scanners:
-                    more, own = scanner.scan(words)
-                    runs += more
-                    items |= own
-                runs = merged(runs)
-                rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in runs), "n_items": len(items), "item_ids": sorted(items), "leak_spans": [{"start": a, "end": b} for a, b in spans_of(text, runs)]})
+                if scanner:
+                    runs, own = scanner.scan(words)
+                else:
+                    runs, own = merged([(r["first"], r["last"]) for r in runs or ()]), own or ()
+                rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in runs), "n_items": len(own), "item_ids": sorted(own), "leak_spans": [{"start": a, "end": b} for a, b in spans_of(text, runs)]})
             found = pa.RecordBatch.from_pylist(rows, schema=ours)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=[*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *found.columns], names=[*columns, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(scan, f"{fields}, n_words long, n_hit long, n_items long, item_ids array<string>, leak_spans array<struct<start: long, end: long>>")
+    return read.mapInArrow(place, f"{fields}, n_words long, n_hit long, n_items long, item_ids array<string>, leak_spans array<struct<start: long, end: long>>")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small_batches, texts
+from .word_encoder import gathered
 
 #: The profiles are fitted on about so many rows with a declared language, chosen by a hash.
 SAMPLE_ROWS = 2000
-#: Languages that a fit tells apart at most: the most declared ones of the sample.
-MOST_LANGUAGES = 64
 #: Hashed trigrams of a profile.
 BUCKETS = 1 << 16
 #: A text's evidence counts as that of so many trigrams at most, as its trigrams aren't independent.
@@ -47,49 +46,59 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
 
 
 class Profiles:
-    """languages, and a log-likelihood for each language and bucket."""
+    """languages, and each one's log-likelihood of a trigram: floors where its profile lacks the bucket, and what is added where it has it.
 
-    def __init__(self, languages: list[str], logs: np.ndarray):
-        self.languages, self.logs = languages, logs
+    rows: the profiles' counts above 0 as arrays of language, bucket and count. Languages are as many as the labelled rows
+    declare, and a profile takes room only for the buckets that it has.
+    """
+
+    def __init__(self, languages: list[str], language: np.ndarray, bucket: np.ndarray, count: np.ndarray):
+        self.languages = languages
+        order = np.argsort(bucket, kind="stable")
+        self.language, bucket, count = language[order].astype(np.int32), bucket[order], count[order]
+        self.sizes = np.bincount(bucket, minlength=BUCKETS)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        total = np.bincount(self.language, weights=count, minlength=len(languages)) + 0.5 * BUCKETS
+        self.floors, self.gains = np.log(0.5 / total), np.log((count + 0.5) / 0.5)
 
-    def score(self, text: str) -> tuple[int, list[float]]:
+    def score(self, text: str) -> tuple[int, np.ndarray]:
         """The number of trigrams, and each language's log-likelihood, weighed down to EFFECTIVE trigrams."""
         n, total = 0, np.zeros(len(self.languages))
         for codes in trigrams(text):
             n += len(codes)
-            total += self.logs[:, codes].sum(axis=1)
-        return n, (total * min(1.0, EFFECTIVE / n)).tolist() if n else total.tolist()
+            known, times = np.unique(codes, return_counts=True)
+            sizes = self.sizes[known]
+            at = gathered(np.arange(len(self.language)), self.starts[known], sizes)
+            total += len(codes) * self.floors + np.bincount(self.language[at], weights=self.gains[at] * np.repeat(times, sizes), minlength=len(total))
+        return n, total * min(1.0, EFFECTIVE / n) if n else total
+
+    def best(self, n: int, logs: np.ndarray) -> int | None:
+        """The likeliest language; none for a text without trigrams, or one that the unknown alternative fits better."""
+        return int(np.argmax(logs)) if n and logs.max() >= min(n, EFFECTIVE) * UNKNOWN_LOG + np.log(UNKNOWN_PRIOR) else None
 
 
 def fit_profiles(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     """From rows with text and declared; whole texts, of about sample_rows rows chosen by a hash of their text.
 
-    Counts come by grouped aggregation, so the driver gets a number for each language and bucket and no texts.
+    Counts come by grouped aggregation, so the driver gets a number for each language and bucket of the sample and no texts.
     """
     labelled = rows.filter(F.col("declared").isNotNull() & (F.col("declared") != "")).select("declared", "text")
     share = min(1.0, sample_rows / max(1, labelled.count()))
     chosen = labelled.filter(F.pmod(F.xxhash64("text", "declared"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+    small_batches(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                if name not in held and len(held) >= MOST_LANGUAGES * 4:
-                    continue
-                own = held.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
                 for codes in trigrams(text):
-                    own += np.bincount(codes, minlength=BUCKETS)
-        for name, own in held.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["declared", "bucket", "n"])
+                    found, times = np.unique(codes, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(times)], names=["declared", "bucket", "n"])
 
-    counts = saved(chosen.mapInArrow(count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "profiles")
-    top = counts.groupBy("declared").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.declared for r in top)
-    table = np.full((len(languages), BUCKETS), 0.5)
-    for r in counts.filter(F.col("declared").isin(languages)).toLocalIterator() if languages else ():
-        table[languages.index(r.declared), r.bucket] += r.n
-    return Profiles(languages, np.log(table / table.sum(axis=1, keepdims=True)) if languages else table)
+    counts = chosen.mapInArrow(count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = counts.column("declared").combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    place = np.array([languages.index(x) for x in names.dictionary.to_pylist()], dtype=np.int32)
+    return Profiles(languages, place[names.indices.to_numpy()], counts.column("bucket").to_numpy(), counts.column("n").to_numpy())
 
 
 def host_parts(host: Column) -> tuple[Column, Column]:
@@ -99,83 +108,90 @@ def host_parts(host: Column) -> tuple[Column, Column]:
     return F.when(many, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host), F.when(many, F.element_at(labels, -1)).otherwise("")
 
 
-def identify(rows: DataFrame, profiles: Profiles, min_posterior: float = 0.5) -> DataFrame:
-    """rows with lang_id, posterior, text_lang and accepted.
+def identify(rows: DataFrame, profiles: Profiles, min_posterior: float = 0.5, with_text: bool = True) -> DataFrame:
+    """rows with lang_id, posterior, text_lang and accepted; without with_text, text is left out.
 
     rows: text, declared and host (any may be null); its other columns stay, but those named as the new ones. text_lang is
     the likeliest language by the text alone, lang_id by all evidence. A text without letters, null and empty ones among
     them, has no text_lang, gets lang_id "und" and isn't accepted; nor is one whose posterior is below min_posterior. The
     posterior has an unknown alternative, a text of evenly spread trigrams: a text that it fits better than any language
-    has no text_lang and says nothing about its host, and where it wins by all evidence lang_id is "und". A null host is the host ""; a null declaration, or one of an unknown language, is evidence of its own kind. Ties go to
-    the language that sorts first. Without profiles (an empty table) all is "und".
+    has no text_lang and says nothing about its host, and where it wins by all evidence lang_id is "und". A null host is
+    the host ""; a null declaration, or one of an unknown language, is evidence of its own kind. Ties go to the language
+    that sorts first. Without profiles (an empty table) all is "und".
+
+    Texts are scored once; the scored rows are written to the shared folder, with their texts only where these are wanted.
     """
-    small_batches(rows.sparkSession)
-    new = ["lang_id", "posterior", "text_lang", "accepted", "__n", "__ll", "__prior"]
+    spark = rows.sparkSession
+    small_batches(spark)
+    new = ["lang_id", "posterior", "text_lang", "accepted", "__n", "__ll", "__best", "__host", "__said", "__prior", "__told", "__key", "__score"]
     base = rows.select(*(F.col(c) for c in rows.columns if c.lower() not in new))
+    kept = [c for c in base.columns if with_text or c.lower() != "text"]
     names = profiles.languages
     if not names:
-        return base.select("*", F.lit("und").alias("lang_id"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
-    sent = rows.sparkSession.sparkContext.broadcast((names, profiles.logs))  # 8 B x BUCKETS x 64 languages at most: 32 MB
-
-    def scored(df: DataFrame) -> DataFrame:
-        at = [c.lower() for c in df.columns].index("text")
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Profiles(*sent.value)
-            for batch in batches:
-                found = [own.score(x) for x in texts(batch.column(at))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([ll for _, ll in found], pa.list_(pa.float64()))], names=[*batch.schema.names, "__n", "__ll"])
+        return base.select(*kept, F.lit("und").alias("lang_id"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
+    sent = spark.sparkContext.broadcast(profiles)  # bounded by the sample: 20 bytes for each bucket that a language has
+    at = [c.lower() for c in base.columns].index("text")
+    ours = [i for i, c in enumerate(base.columns) if c in kept]
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(score, f"{fields}, __n long, __ll array<double>")
-
-    # Hosts and declarations say as much about a text of the unknown alternative as about one of the likeliest language.
-    unknown = F.least(F.col("__n").cast("double"), F.lit(float(EFFECTIVE))) * F.lit(UNKNOWN_LOG) + F.lit(float(np.log(UNKNOWN_PRIOR)))
-    best = lambda: F.when((F.col("__n") > 0) & (F.array_max("__ll") >= unknown), F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)
-    host = F.coalesce(F.col("host"), F.lit(""))
-    declared = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNull() | (F.col("declared") == ""), "").otherwise("?")
-    # What all texts say, by host and declaration: no texts in it, and partial sums before the exchange.
-    cube = saved(scored(base.select("text", "host", "declared")).select(host.alias("host"), declared.alias("said"), best().alias("best")).filter("best is not null").groupBy("host", "said", "best").agg(F.count("*").alias("n")), "evidence")
-    size = len(names)
-    counts = F.array(*(F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double") for i in range(size)))
-    overall = np.array(cube.agg(counts.alias("c")).first().c, dtype=float) if cube.head(1) else np.zeros(size)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            found = [own.score(x) for x in texts(batch.column(at))]
+            columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([ll for _, ll in found], pa.list_(pa.float64())), pa.array([own.best(*x) for x in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in ours), *columns], names=[*kept, "__n", "__ll", "__best"])
+
+    fields = ", ".join(f"`{base.schema[i].name}` {base.schema[i].dataType.simpleString()}" for i in ours)
+    known = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNull() | (F.col("declared") == ""), "").otherwise("?")
+    scored = saved(base.mapInArrow(score, f"{fields}, __n long, __ll array<double>, __best int").withColumns({"__host": F.coalesce("host", F.lit("")), "__said": known}), "scored")
+
+    # What all texts say, by host and declaration, with partial sums before the exchange.
+    cube = saved(scored.filter("__best is not null").groupBy(F.col("__host").alias("host"), F.col("__said").alias("said"), F.col("__best").alias("best")).agg(F.count("*").alias("n")), "evidence")
+    size, kinds = len(names), [*names, "", "?"]
+    overall, told = np.zeros(size), np.full((len(kinds), size), DECLARED_WEIGHT)
+    for r in cube.groupBy("said", "best").agg(F.sum("n").alias("n")).collect():  # so many numbers as kinds times languages at most
+        overall[r.best] += r.n
+        told[kinds.index(r.said), r.best] += r.n
     everywhere = (overall + 1.0) / (overall.sum() + size)
-    kinds = [*names, "", "?"]
-    seen = {(r.said, r.best): r.n for r in cube.groupBy("said", "best").agg(F.sum("n").alias("n")).collect()}
-    told = np.array([[seen.get((k, i), 0) + DECLARED_WEIGHT for i in range(size)] for k in kinds], dtype=float)
     told = np.log(told / told.sum(axis=0, keepdims=True))
 
     domain, suffix = host_parts(F.col("host"))
-    hosts = cube.groupBy("host").agg(counts.alias("c")).withColumn("domain", domain).withColumn("suffix", suffix)
-    sums = F.array(*(F.sum(F.get(F.col("c"), F.lit(i))) for i in range(size)))
-    domains = hosts.groupBy("domain").agg(sums.alias("d"))
-    suffixes = hosts.groupBy("suffix").agg(sums.alias("s"))
-    item = lambda c, i: F.get(F.col(c), F.lit(i))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    cells = cube.groupBy("host", "best").agg(F.sum("n").alias("n")).withColumns({"domain": domain, "suffix": suffix})
+
+    def counts(key: str, name: str) -> DataFrame:
+        """The counts of each key's languages as a map, which has no more entries than there are languages, and their sum."""
+        summed = cells.groupBy(key, "best").agg(F.sum("n").alias("n"))
+        return summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias(name), F.sum("n").alias(f"all_{name}"))
+
+    hosts = counts("host", "c").withColumns({"domain": domain, "suffix": suffix})
+    suffixes = saved(counts("suffix", "s"), "suffixes")
     kinds_of_suffix = suffixes.count()
-    by_suffix = F.array(*(F.log((item("s", i) + 1.0) / F.lit(float(overall[i] + kinds_of_suffix))) for i in range(size)))
-    by_domain = F.array(*((item("d", i) + F.lit(DOMAIN_WEIGHT * everywhere[i])) / (total("d") + DOMAIN_WEIGHT) for i in range(size)))
-    by_host = F.array(*((item("c", i) + F.lit(HOST_WEIGHT) * item("p", i)) / (total("c") + HOST_WEIGHT) for i in range(size)))
-    priors = hosts.join(domains, "domain").join(suffixes, "suffix").withColumn("p", by_domain).withColumn("h", by_host)
-    priors = priors.select(F.col("host").alias("__host"), F.zip_with(F.transform("h", lambda x: F.log(x)), by_suffix, lambda a, b: a + b).alias("__prior"))
-    # One row a host: Spark broadcasts it while it is small, and splits hot hosts in the join otherwise.
-    joined = scored(base).join(priors, host == F.col("__host"), "left")
-    unseen = F.array(*(F.lit(float(np.log(x))) for x in everywhere))
-    said = F.element_at(F.create_map(*(x for k, row in zip(kinds, told) for x in (F.lit(k), F.array(*(F.lit(float(v)) for v in row))))), declared)
-    score_of = F.zip_with(F.zip_with(F.col("__ll"), F.coalesce("__prior", unseen), lambda a, b: a + b), said, lambda a, b: a + b)
-    placed = joined.withColumn("__score", score_of).withColumn("__text", best())
-    languages = F.array(*map(F.lit, names))
+    of = lambda c, i: F.coalesce(F.try_element_at(c, i), F.lit(0))
+    shares, sums = F.lit(everywhere.tolist()), F.lit((overall + kinds_of_suffix).tolist())
+    by_domain = lambda i: (of(F.col("d"), i) + DOMAIN_WEIGHT * F.get(shares, i)) / (F.col("all_d") + DOMAIN_WEIGHT)
+    by_host = lambda i: (of(F.col("c"), i) + HOST_WEIGHT * by_domain(i)) / (F.col("all_c") + HOST_WEIGHT)
+    by_suffix = lambda i: (of(F.col("s"), i) + 1.0) / F.get(sums, i)
+    joined = hosts.join(counts("domain", "d"), "domain").join(suffixes, "suffix")
+    # One row a host, written out: broadcast while it is small, and otherwise in a join that splits hot hosts.
+    priors = saved(joined.select(F.col("host").alias("__key"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.log(by_host(i)) + F.log(by_suffix(i))).alias("__prior")), "priors")
+    said = spark.createDataFrame([(k, row.tolist()) for k, row in zip(kinds, told)], "__said string, __told array<double>")
+
+    placed = scored.join(priors, scored["__host"] == priors["__key"], "left").join(F.broadcast(said), "__said")
+    unseen = F.lit(np.log(everywhere).tolist())
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    placed = placed.withColumn("__score", add(add(F.col("__ll"), F.coalesce("__prior", unseen)), F.col("__told")))
     top = F.array_max("__score")
     place = (F.array_position("__score", top) - 1).cast("int")
+    # Hosts and declarations say as much about a text of the unknown alternative as about one of the likeliest language.
+    unknown = F.least(F.col("__n").cast("double"), F.lit(float(EFFECTIVE))) * F.lit(UNKNOWN_LOG) + F.lit(float(np.log(UNKNOWN_PRIOR)))
     lead = unknown - F.get("__ll", place)
     some = F.col("__n") > 0
     posterior = F.lit(1.0) / (F.aggregate("__score", F.lit(0.0), lambda a, x: a + F.exp(x - top)) + F.exp(lead))
-    out = placed.withColumn("__posterior", F.when(some, posterior).otherwise(0.0))
-    return out.select(*base.columns, F.when(some & (lead <= 0), F.get(languages, place)).otherwise("und").alias("lang_id"), F.col("__posterior").alias("posterior"), F.get(languages, F.col("__text")).alias("text_lang"), (some & (F.col("__posterior") >= min_posterior)).alias("accepted"))
+    languages = F.lit(names)
+    return placed.select(*kept, F.when(some & (lead <= 0), F.get(languages, place)).otherwise("und").alias("lang_id"), F.when(some, posterior).otherwise(0.0).alias("posterior"), F.get(languages, F.col("__best")).alias("text_lang")).withColumn("accepted", (F.col("posterior") > 0) & (F.col("posterior") >= min_posterior))
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """documents with declared and host: their language column and their source."""
+    """documents with declared and host: their language column and their source; columns of these names are replaced."""
     return docs.withColumns({"declared": F.col("lang").cast("string"), "host": F.col("source").cast("string"), "text": F.col("text").cast("string")})
 
 

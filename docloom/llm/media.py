@@ -29,7 +29,7 @@ SEQUENCE = "array<struct<position: int, kind: string, text: string, src: string,
 
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 _MEDIA = {"img", "video", "audio", "source", "embed"}
-_SILENT = {"script", "style", "noscript", "template", "head"}
+_SILENT = {"script", "style", "noscript", "template", "title"}
 _BLOCKS = {"p", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "br", "hr", "figure", "header", "footer", "nav", "main", "aside", "dl", "dt", "dd"}
 
 
@@ -87,7 +87,7 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.silent = 0
+        self.silent: list[str] = []
         self.figure: list[int] = []
         self.caption: list[str] | None = None
 
@@ -96,54 +96,78 @@ class _Sequence(HTMLParser):
             self.items.append({"kind": "text", "text": text, "src": None, "digest": None, "caption": None})
         self.words = []
 
+    def end_caption(self) -> None:
+        """The caption belongs to the figure's media, and stays with them whatever else the page holds."""
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            for i in self.figure:
+                self.items[i]["caption"] = text or self.items[i]["caption"]
+            if text and not self.figure:  # a caption of nothing is text
+                self.words.append(text)
+            self.caption = None
+
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
-            self.silent += 1
+            self.silent.append(tag)
         elif self.silent:
             return
         elif tag in _MEDIA:
             said = dict(attrs)
             if src := said.get("src"):
-                self.flush()
+                if self.caption is None:
+                    self.flush()
                 digest = src[len(SCHEME) :].lower() if src.startswith(SCHEME) else None
                 self.items.append({"kind": "media", "text": None, "src": src, "digest": digest, "caption": " ".join((said.get("alt") or "").split()) or None})
                 self.figure.append(len(self.items) - 1)
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in _BLOCKS:
-            self.flush()
             if tag == "figure":
+                self.end_caption()
                 self.figure = []
+            self.flush()
 
     def handle_startendtag(self, tag, attrs):
         if tag not in _SILENT:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            # The caption belongs to the figure's media, and stays with them whatever else the page holds.
-            text = " ".join("".join(self.caption).split())
-            for i in self.figure:
-                self.items[i]["caption"] = text or self.items[i]["caption"]
-            self.caption = None
+        if tag in self.silent:
+            # What it holds ends with it, closed or not.
+            del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in _BLOCKS:
-            self.flush()
             if tag == "figure":
+                self.end_caption()
+                self.flush()
                 self.figure = []
+            self.flush()
 
     def handle_data(self, data):
         if not self.silent:
             (self.words if self.caption is None else self.caption).append(data)
 
+    def parse_html_declaration(self, i):
+        # Outside foreign content a marked section is a comment up to the next >.
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
 
 def sequence_of(html: str) -> list[dict]:
-    """Text runs and media references in the order of the page; broken HTML gives what can be read."""
+    """Text runs and media references in the order of the page.
+
+    Broken HTML gives what can be read: marked sections are comments, an open caption ends with its figure or the page, and
+    what the parser can't go on from is text. The head's title, styles and scripts are left out; text of a head is not.
+    """
     parser = _Sequence()
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:  # the parser's own for declarations that it doesn't know
+        parser.handle_data(parser.rawdata)
+    parser.end_caption()
     parser.flush()
     return [{"position": i} | x for i, x in enumerate(parser.items)]
 

@@ -15,13 +15,13 @@ WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = language_id.document_evidence(table(spark, sf_dir, "documents"))
-    found = language_id.identify(rows, language_id.fit_profiles(rows))
+    found = language_id.identify(rows, language_id.fit_profiles(rows), with_text=False)
     return found.select("doc_id", "lang_id", F.round("posterior", 6).alias("posterior"), "text_lang", "declared", "accepted")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = language_id.page_evidence(table(spark, sf_dir, "pages"))
-    found = language_id.identify(rows, language_id.fit_profiles(rows))
+    found = language_id.identify(rows, language_id.fit_profiles(rows), with_text=False)
     return found.select("page_id", "lang_id", F.round("posterior", 6).alias("posterior"), "text_lang", "declared", "host", "accepted")
 
 

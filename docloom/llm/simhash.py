@@ -87,7 +87,8 @@ def links(points: DataFrame, bits: int = 2, paired: int = PAIRED) -> DataFrame:
     if not 0 <= bits <= 2:
         raise ValueError("bits must be 0, 1 or 2")
     keyed = points.select("fp", "node", F.explode(block_keys(F.col("fp"), bits)).alias("k")).select("fp", "node", "k.block", "k.key")
-    sizes = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written out, so that the joins read plain exchanges and a key with very many fingerprints can be split.
+    sizes = saved(keyed.groupBy("block", "key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     small = keyed.join(sizes.filter(F.col("n") <= paired), ["block", "key"])
     left, right = (small.select("block", "key", F.col("fp").alias(f"fp_{s}"), F.col("node").alias(s)) for s in "ab")
     close = left.join(right, ["block", "key"]).filter(F.col("fp_a") < F.col("fp_b")).filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= bits).select("a", "b")
@@ -99,7 +100,7 @@ def links(points: DataFrame, bits: int = 2, paired: int = PAIRED) -> DataFrame:
         near = crowded.select("node", F.explode(F.concat(F.array(F.lit(0).cast("long")), flipped)).alias("flip"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     else:  # one bit off: two fingerprints share what is left when that bit is taken out
         near = crowded.select("node", "fp", F.explode(flipped).alias("flip")).select("node", F.struct("flip", F.col("fp").bitwiseAND(F.bitwise_not(F.col("flip")))).alias("at"))
-    least = near.groupBy("at").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("at", "b")
+    least = saved(near.groupBy("at").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("at", "b"), "least")
     stars = near.join(least, "at").filter(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b")
     return close.unionByName(stars).distinct()
 

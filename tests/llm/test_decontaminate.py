@@ -48,7 +48,24 @@ def test_against_brute_force(spark):
     docs = [(i, text(r.randrange(0, 60))) for i in range(80)] + [(200, None), (201, ""), (0, "A b"), (202, "Capital Éa " * 5000), (None, items[0][1])]
     want = brute(docs, items, 4)
     assert ours(spark, docs, items, 4) == want
-    assert ours(spark, docs, items, 4, block_bytes=1) == want  # one automaton for each item
+    assert ours(spark, docs, items, 4, block_bytes=400) == want  # several blocks, each a job
+
+
+def test_blocks_share_items_texts_and_spans(spark):
+    """Blocks of a few items each: a text hit by items of several blocks has all their words and spans, and copies stay rows."""
+    r = random.Random(2)
+    items = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(14))) for i in range(60)]
+    docs = [(i % 30, f"Start, {items[i][1]}. {items[59 - i][1].upper()} end") for i in range(60)] + [(99, "nothing " * 30_000)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, find_leaks(d, b, 10, block_bytes=n).collect())) for n in (1 << 20, 700))
+    assert one == many and ours(spark, docs, items, 10, block_bytes=700) == brute(docs, items, 10)
+
+
+def test_many_words(spark):
+    """More words than one letter can number."""
+    items = [(i, " ".join(f"word{i * 9 + k}" for k in range(9))) for i in range(3000)]
+    docs = [(1, items[2999][1]), (2, items[0][1] + " " + items[2999][1]), (3, "word1 word2"), (4, "\x01\x02 Āᄀ 䀀")]
+    assert ours(spark, docs, items, 10) == [(1, 9, 9, 1, "2999"), (2, 18, 18, 2, "0,2999"), (3, 2, 0, 0, ""), (4, 2, 0, 0, "")]
 
 
 def test_words_inside_words_dont_count(spark):

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docloom.llm import language_id as L
 
@@ -111,6 +112,28 @@ def test_empty_and_unlabelled(spark):
     assert (row.lang_id, row.accepted, row.truth) == ("und", False, "")
 
 
+def test_three_hundred_languages(spark):
+    """No language of the labelled rows is left out, however many there are."""
+    r = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:03}": ["".join(r.choice(letters) for _ in range(6)) for _ in range(12)] for i in range(300)}
+    rows = [(k * 300 + i, " ".join(r.choice(words[name]) for _ in range(40)), name, f"h{i}.org", name) for k in range(4) for i, name in enumerate(words)]
+    df = frame(spark, rows)
+    profiles = L.fit_profiles(df)
+    assert profiles.languages == sorted(words)
+    got = {x.doc_id: x for x in L.identify(df, profiles).collect()}
+    assert all(got[d].lang_id == name and got[d].accepted for d, _, name, *_ in rows)
+
+
+def test_clashing_columns_and_ties(spark):
+    rows = [(1, "abc def", "aa", "h", "", 1), (2, "abc def", "bb", "h", "", 2), (3, "abc def", None, None, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, truth string, posterior int").withColumns({"__best": F.lit(9), "lang_id": F.lit("x")})
+    out = {r.doc_id: r for r in L.identify(df, L.fit_profiles(df), 0.1).collect()}
+    assert (out[1].lang_id, out[2].lang_id, out[1].text_lang, out[3].text_lang) == ("aa", "aa", "aa", "aa") and out[1].truth == ""
+    lean = L.identify(df, L.fit_profiles(df), with_text=False)
+    assert "text" not in lean.columns and lean.count() == 3
+
+
 def test_trigrams_come_in_slices():
     text = "abc " * 600_000
     parts = list(L.trigrams(text))
