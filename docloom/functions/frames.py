@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written into the folder in spark.checkpoint.dir, which all executors share, and read back.
-
-    For what several steps read: it is computed once, and its plan begins at files that lost executors don't take along. A
-    temporary folder only where none is set, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Only where all runs in one process may it be unset: a temporary folder then."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written into the shared folder and read back.
+
+    For what several steps read: it is computed once, and its plan begins at files that lost executors don't take along.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def best_rows(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each key with rank (from 0).
+
+    The bound is on row_number() itself: then Spark keeps k rows of a key before the exchange and in it, so that no task
+    sorts all rows of a hot key.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__place", place).filter(F.col("__place") <= k).withColumn("rank", F.col("__place") - 1).drop("__place")
+
+
 def union(first: DataFrame, *rest: DataFrame) -> DataFrame:
     """All rows, columns by name.
 
     Spark 4.1 zips the partitions of inputs that are partitioned alike, and then fails where adaptive execution has joined
-    small partitions differently on either side; so a union here only ever concatenates.
+    small partitions differently on either side; so a union here only ever concatenates. Spark reads the setting when the
+    plan runs, so it stays for the session.
     """
     first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     for df in rest:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULTS, PipelineConfig
-from ..functions.frames import stored, union
+from ..functions.frames import best_rows, stored, union
 from ..functions.text import lexical_overlap, query_terms, trim_all
 
 #: BM25's constants.
@@ -38,38 +38,47 @@ def search_corpus(chunks: DataFrame, cards: DataFrame, mcqs: DataFrame, docs: Da
     return union(found, numbered.select("doc_id", F.concat(F.lit("md-"), F.col("n").cast("string")).alias("chunk_id"), F.col("p").alias("text"), none.alias("embedding")))
 
 
-def terms_table(corpus: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """key, term, tf and dl (the text's number of terms): the lexical index's postings."""
-    terms = corpus.select(key, query_terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    return terms.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+def terms_table(corpus: DataFrame, key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf and dl (the text's number of terms): the lexical index's postings, with one row of the empty term for each text.
+
+    Write it once (say, bucketed by term) and hand it to lexical_topk as index to search it again and again: texts are not
+    read then. The rows of the empty term carry what the corpus counts, its texts and their lengths. only: a column term;
+    the others are left out before they are grouped.
+    """
+    terms = corpus.select(key, F.coalesce(query_terms(F.col("text")), F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
+    listed = terms.select(key, "dl", F.explode(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"))
+    if only is not None:
+        marker = only.sparkSession.createDataFrame([("",)], "term string")
+        listed = listed.join(union(only.select("term"), marker).distinct(), "term", "left_semi")
+    return listed.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.bm25_top_k, key: str = "chunk_id", prefix: bool = False) -> DataFrame:
+def lexical_topk(corpus: DataFrame | None, queries: DataFrame, k: int = DEFAULTS.bm25_top_k, key: str = "chunk_id", prefix: bool = False, index: DataFrame | None = None) -> DataFrame:
     """query_id, key, bm25, rank (from 0) and score, which is (count - rank) / count over the query's hits.
 
-    corpus: key, text; queries: query_id, text. Terms meet by an equi-join, so only texts that share a term with a query are
-    scored, and sums are partial before the exchange. prefix: a query's term of 3 characters or more also finds longer
-    terms that begin with it. Ties go to the key that sorts first. k hits a query; fewer where fewer match.
+    corpus: key, text; queries: query_id, text; index: what terms_table has made of the corpus, instead of reading it. Terms
+    meet by an equi-join, so only texts that share a term with a query are scored, and sums are partial before the exchange.
+    prefix: a query's term of 3 characters or more also finds longer terms that begin with it. Ties go to the key that sorts
+    first. k hits a query; fewer where fewer match.
     """
-    terms = corpus.select(key, query_terms(F.col("text")).alias("terms")).withColumn("dl", F.coalesce(F.size("terms"), F.lit(0)))
-    n, mean = terms.agg(F.count("*"), F.avg("dl")).first()
     asked = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("text")))).alias("q"))
-    found = terms.select(key, "dl", F.explode("terms").alias("term"))
+    postings = stored(terms_table(corpus, key, None if prefix else asked.select(F.col("q").alias("term"))), "postings") if index is None else index
+    size = postings.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    found = postings.filter("term <> ''")
     if prefix:
         # Every start of a term of at least 3 characters, so that the join stays an equi-join.
         starts = F.transform(F.sequence(F.lit(3), F.greatest(F.char_length("term"), F.lit(3))), lambda i: F.substr(F.col("term"), F.lit(1), i))
         found = found.withColumn("q", F.explode(F.array_distinct(starts)))
     else:
         found = found.withColumn("q", F.col("term"))
-    # Only terms that a query has are grouped and counted; the others end at the join.
-    wanted = stored(found.join(asked.select("q").distinct(), "q").groupBy(key, "term", "q", "dl").agg(F.count("*").alias("tf")), "postings")
-    df = wanted.groupBy("q").agg(F.count_distinct(key).alias("df"))
-    hits = wanted.join(df, "q").join(asked, "q")
-    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
+    # Only terms that a query has are counted; the others end at the join.
+    wanted = found.join(asked.select("q").distinct(), "q", "left_semi")
+    df = stored(wanted.groupBy("q").agg(F.count_distinct(key).alias("df")), "df")
+    hits = wanted.join(df, "q").join(asked, "q").crossJoin(F.broadcast(size))  # one row
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)))
     summed = hits.groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("bm25"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), key)
-    top = summed.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    top = best_rows(summed, ["query_id"], [F.desc("bm25"), F.col(key)], k)
     count = F.count("*").over(Window.partitionBy("query_id"))
     return top.withColumn("score", (count - F.col("rank")) / count)
 
@@ -103,18 +112,21 @@ def _blocks(df: DataFrame, id_column: str, rows: int) -> DataFrame:
     return df.select(id_column, "embedding").mapInArrow(pack, f"ids array<{kind.simpleString()}>, dims int, matrix binary")
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_top_k, min_score: float = -1.0, key: str = "chunk_id") -> DataFrame:
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_top_k, min_score: float = -1.0, key: str = "chunk_id", salts: int | None = None) -> DataFrame:
     """query_id, key, score (cosine, rounded to 6 places) and rank (from 0): exact search, k hits a query.
 
     corpus: key, embedding; queries: query_id, embedding. Vectors of other dimensions, and null, empty and zero ones, are
-    left out. Both sides are packed into blocks of vectors; blocks meet blocks and a pair of blocks keeps k rows for each
-    query, so neither side is collected and no pair of vectors is a row. Only scores above min_score count; ties go to the
-    key that sorts first.
+    left out. Both sides are packed into blocks of vectors and written out; corpus blocks are dealt over salts (as many as
+    there are shuffle partitions, if not given) and a copy of every query block goes to each, so the blocks of one dimension
+    meet in as many tasks. A pair of blocks keeps k rows for each query, a task k rows before the exchange, and no pair of
+    vectors is a row. Only scores above min_score count; ties go to the key that sorts first.
     """
+    spark = queries.sparkSession
     kinds = [queries.schema["query_id"].dataType, corpus.schema[key].dataType]
     types = list(map(to_arrow_type, kinds))
-    left = _blocks(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), "dims", F.col("matrix").alias("q"))
-    right = _blocks(corpus, key, CORPUS_BLOCK).select(F.col("ids").alias("c_ids"), F.col("dims").alias("c_dims"), F.col("matrix").alias("c"))
+    n = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = _blocks(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), "dims", F.col("matrix").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"))
+    right = stored(_blocks(corpus, key, CORPUS_BLOCK).select(F.col("ids").alias("c_ids"), "dims", F.col("matrix").alias("c"), F.pmod(F.xxhash64("matrix"), F.lit(n)).cast("int").alias("salt")), "vectors")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +139,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_
                 keep = found > min_score
                 yield pa.RecordBatch.from_arrays([pa.array([q_ids[i] for i in rows[keep]], types[0]), pa.array([c_ids[j] for j in take.ravel()[keep]], types[1]), pa.array(found[keep])], names=["query_id", key, "score"])
 
-    pairs = left.crossJoin(right).filter("dims = c_dims")
-    found = pairs.mapInArrow(best, f"query_id {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)) - 1).filter(F.col("rank") < k)
+    found = left.join(right, ["dims", "salt"]).mapInArrow(best, f"query_id {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double")
+    return best_rows(found, ["query_id"], [F.desc("score"), F.col(key)], k)
 
 
 def vector_topk_expr(corpus: DataFrame, query: list[float], k: int = DEFAULTS.vector_top_k, key: str = "chunk_id") -> DataFrame:
@@ -158,7 +169,7 @@ def fuse(vector: DataFrame, lexical: DataFrame, cap: int = DEFAULTS.fuse_top_k,
     both = lists[0].join(lists[1], ["query_id", key], "full")
     score = F.round(F.coalesce("__vector_score", F.lit(0.0)) + F.coalesce("__lexical_score", F.lit(0.0)), 6)
     summed = both.select("query_id", key, score.alias("score"), "vector_score", "lexical_score")
-    return summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)) - 1).filter(F.col("rank") < cap)
+    return best_rows(summed, ["query_id"], [F.desc("score"), F.col(key)], cap)
 
 
 def with_overlap(ranked: DataFrame, queries: DataFrame, texts: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -181,22 +192,23 @@ def relevance(ranked: DataFrame, queries: DataFrame, min_lexical: float = DEFAUL
     return every.select("query_id", (reason != "none").alias("relevant"), reason.alias("reason"), vector.alias("best_vector_score"), lexical.alias("best_lexical_overlap"))
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, config: PipelineConfig = DEFAULTS, key: str = "chunk_id", prefix: bool = False) -> DataFrame:
+def retrieve(corpus: DataFrame, queries: DataFrame, config: PipelineConfig = DEFAULTS, key: str = "chunk_id", prefix: bool = False, index: DataFrame | None = None) -> DataFrame:
     """query_id, rank, key, text, score, vector_score, overlap, reason and mode: what passes the gate, for every query.
 
     corpus: key, text and embedding (null: not embedded); queries: query_id, text and embedding. mode is hybrid where query
     and corpus have vectors, bm25-only where only the corpus has, bm25-no-vectors where it has none, and no-match, with one
-    row of nulls, where nothing passes the gate.
+    row of nulls, where nothing passes the gate. index: see lexical_topk.
     """
-    lexical = lexical_topk(corpus, queries, config.bm25_top_k, key, prefix)
-    embedded = corpus.filter(F.size("embedding") > 0)
-    has_vectors = "embedding" in queries.columns and bool(embedded.head(1))
-    if has_vectors:
+    lexical = lexical_topk(corpus, queries, config.bm25_top_k, key, prefix, index)
+    if "embedding" in queries.columns and "embedding" in corpus.columns:
+        embedded = corpus.filter(F.size("embedding") > 0)
         vector = vector_topk(embedded, queries.filter(F.size("embedding") > 0), config.vector_top_k, key=key).filter(F.col("score") >= config.min_vector_score)
-        asked = queries.select("query_id", F.coalesce(F.size("embedding") > 0, F.lit(False)).alias("__v"))
-        # A query without a vector has one list only: the same order, with the scores that the list had.
+        any_vector = embedded.limit(1).agg((F.count("*") > 0).alias("__any"))  # one row
+        asked = queries.select("query_id", F.coalesce(F.size("embedding") > 0, F.lit(False)).alias("__v")).crossJoin(F.broadcast(any_vector))
+        # A query without a vector, or a corpus without any, has one list only: the same order, with the scores that the list had.
         arms = fuse(vector, lexical, config.fuse_top_k, key).join(asked, "query_id")
-        ranked = arms.select("query_id", key, F.when(F.col("__v"), F.col("score")).otherwise(F.col("lexical_score")).alias("score"), "vector_score", "rank", F.when(F.col("__v"), "hybrid").otherwise("bm25-only").alias("mode"))
+        mode = F.when(~F.col("__any"), "bm25-no-vectors").when(F.col("__v"), "hybrid").otherwise("bm25-only")
+        ranked = arms.select("query_id", key, F.when(F.col("__v") & F.col("__any"), F.col("score")).otherwise(F.col("lexical_score")).alias("score"), "vector_score", "rank", mode.alias("mode"))
     else:
         ranked = lexical.filter(F.col("rank") < config.fuse_top_k).select("query_id", key, "score", F.lit(None).cast("double").alias("vector_score"), "rank", F.lit("bm25-no-vectors").alias("mode"))
     told = with_overlap(ranked, queries, corpus, key)
@@ -216,7 +228,7 @@ def approximate_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.ve
     right = corpus.filter(F.size("embedding") > 0).select(key, array_to_vector(unit("embedding")).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5).fit(right)
     near = model.approxSimilarityJoin(left, right, 2.0, "d").select("datasetA.query_id", f"datasetB.{key}", F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)) - 1).filter(F.col("rank") < k)
+    return best_rows(near, ["query_id"], [F.desc("score"), F.col(key)], k)
 
 
 def attach_images(ranked: DataFrame, cards: DataFrame, blocks: DataFrame, most: int = 3, key: str = "chunk_id") -> DataFrame:
@@ -235,8 +247,8 @@ def attach_images(ranked: DataFrame, cards: DataFrame, blocks: DataFrame, most:
     every = kinds[0].select(*columns).unionByName(kinds[1].select(*columns)).unionByName(kinds[2].select(*columns))
     order = ["rank", "way", "image_ord", "image_id"]
     first = every.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "src").orderBy(*order))).filter("__n = 1")
-    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).filter(F.col("n") < most)
-    return numbered.select("query_id", "n", "src", "title", F.col("image_id").alias("block_id"))
+    numbered = best_rows(first.withColumnRenamed("rank", "__rank"), ["query_id"], ["__rank", *order[1:]], most)
+    return numbered.select("query_id", F.col("rank").alias("n"), "src", "title", F.col("image_id").alias("block_id"))
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.vector_top_k, key: str = "chunk_id", strategy: str = "exact") -> DataFrame:

@@ -1,10 +1,7 @@
-"""Words and regions of a page: characters to words, words to rows, tables and forms, regions cut out of a page."""
+"""Words and regions of a page: characters to words, words to rows, tables and forms, regions cut out of a page. Expressions alone."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +11,7 @@ from ..functions.frames import union
 ROW_TOLERANCE, GROUP_GAP, PARAGRAPH_SHARE, PARAGRAPH_CHARS = 5, 50.0, 0.55, 60
 LEAST_TOLERANCE, MOST_TOLERANCE, START_TOLERANCE, COLUMN_REACH, CELL_SLACK = 25.0, 50.0, 35.0, 40.0, 20.0
 HEADING_SCALE, HEADING_CHARS = 1.35, 200
-NUMBERING = re.compile(r"\.\d+")
-
-ROW = "doc_id {id}, page int, row_no int, y double, text string, is_paragraph boolean, is_numbering boolean, groups array<double>"
+NUMBERING = r"^\.\d+$"
 
 
 def union_boxes(*boxes: Column) -> Column:
@@ -43,88 +38,69 @@ def chars_to_words(chars: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "page", "word_ix").agg(letters.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
 
 
-def _page_rows(words: pd.DataFrame, width: float) -> list[dict]:
-    rows = []
-    keyed = words.assign(y=(words["top"] / ROW_TOLERANCE + 0.5) // 1 * ROW_TOLERANCE)
-    for y, own in keyed.sort_values(["y", "x0", "word_ix"], kind="stable").groupby("y", sort=True):
-        text = " ".join(own["text"])
-        groups: list[float] = []
-        for x in own["x0"]:
-            if not groups or x - groups[-1] > GROUP_GAP:
-                groups.append(float(x))
-        wide = own["x1"].iloc[-1] - own["x0"].iloc[0] > PARAGRAPH_SHARE * width and len(text) > PARAGRAPH_CHARS
-        rows.append({"y": float(y), "text": text, "paragraph": bool(wide), "numbering": bool(NUMBERING.fullmatch(own["text"].iloc[0])), "groups": groups, "words": list(zip(own["x0"].astype(float), own["text"]))})
-    return rows
-
-
-def _columns(rows: list[dict], width: float) -> list[float] | None:
-    """Where columns begin, from the rows with three groups or more; None where that isn't a table."""
-    xs = sorted(x for r in rows if len(r["groups"]) >= 3 and not r["paragraph"] for x in r["groups"])
-    if not xs:
-        return None
-    gaps = sorted(b - a for a, b in zip(xs, xs[1:]) if b - a > 5)
-    tolerance = min(MOST_TOLERANCE, max(LEAST_TOLERANCE, gaps[int(0.7 * len(gaps))])) if len(gaps) >= 3 else START_TOLERANCE
-    columns = xs[:1]
-    for x in xs[1:]:
-        if x - columns[-1] > tolerance:
-            columns.append(x)
-    n, span = len(columns), columns[-1] - columns[0]
-    if n <= 1 or span / n < 30 or n / (span / 72) > 10 or n > max(15, int(20 * width / 612)):
-        return None
-    return columns
-
-
-def page_segments(words: pd.DataFrame, width: float) -> list[dict] | None:
-    """A page's segments in the order of its rows: tables (rows of cells) and text; None where the page holds no form or table."""
-    rows = _page_rows(words, width)
-    columns = _columns(rows, width)
-    if columns is None:
-        return None
-
-    def aligned(row: dict) -> bool:
-        near = {next((i for i, c in enumerate(columns) if abs(x - c) <= COLUMN_REACH), None) for x, _ in row["words"]}
-        return not row["paragraph"] and not row["numbering"] and len(near - {None}) >= 2
-
-    flags = [aligned(r) for r in rows]
-    if sum(flags) / len(rows) < 0.2:
-        return None
-
-    def cells(row: dict) -> list[str]:
-        held: list[list[str]] = [[] for _ in columns]
-        for x, text in row["words"]:
-            held[next((i for i in range(len(columns) - 1) if x < columns[i + 1] - CELL_SLACK), len(columns) - 1)].append(text)
-        return [" ".join(c) for c in held]
-
-    out: list[dict] = []
-    for row, table in zip(rows, flags):
-        if table and out and out[-1]["type"] == "table" and out[-1]["open"]:
-            out[-1]["rows"].append(cells(row))
-        else:
-            if out:
-                out[-1]["open"] = False
-            out.append({"type": "table", "y": row["y"], "rows": [cells(row)], "text": "", "open": True} if table else {"type": "text", "y": row["y"], "rows": [], "text": row["text"], "open": False})
-    return out
-
-
-def word_rows(words: DataFrame, page_width: float = 612.0) -> DataFrame:
-    """doc_id, page, row_no, y, text, is_paragraph, is_numbering and groups: a page's words as rows of about one height."""
-
-    def rows(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        found = _page_rows(page, page_width)
-        return pd.DataFrame([{"doc_id": key[0], "page": key[1], "row_no": i, "y": r["y"], "text": r["text"], "is_paragraph": r["paragraph"], "is_numbering": r["numbering"], "groups": r["groups"]} for i, r in enumerate(found)])
-
-    return words.groupBy("doc_id", "page").applyInPandas(rows, ROW.format(id=words.schema["doc_id"].dataType.simpleString()))
+def _told(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
 
 
-def form_segments(words: DataFrame, page_width: float = 612.0) -> DataFrame:
-    """doc_id, page, ord, type (table or text), y, rows and text of every page that holds a form or table. A page is one group."""
-    kind = words.schema["doc_id"].dataType.simpleString()
+def _merged(xs: Column, gap: Column | float) -> Column:
+    """Of ascending numbers those that are more than gap beyond the last one kept."""
+    far = lambda kept, x: (F.size(kept) == 0) | (x - F.element_at(kept, -1) > gap)
+    return F.aggregate(xs, F.array().cast("array<double>"), lambda kept, x: F.when(far(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+
+def word_rows(words: DataFrame, page_width: float = 612.0, with_words: bool = False) -> DataFrame:
+    """doc_id, page, row_no, y, text, is_paragraph, is_numbering and groups: a page's words as rows of about one height.
+
+    words: doc_id, page, word_ix, text, x0, x1, top, bottom; one without a place is left out. groups are where words begin
+    after a gap. with_words: and words, an array of (x0, word_ix, x1, text) from left to right.
+    """
+    placed = words.filter(F.col("top").isNotNull() & F.col("x0").isNotNull()).withColumn("y", F.floor(F.col("top") / ROW_TOLERANCE + 0.5) * float(ROW_TOLERANCE))
+    word = F.struct(F.col("x0").cast("double").alias("x0"), "word_ix", F.col("x1").cast("double").alias("x1"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = placed.groupBy("doc_id", "page", "y").agg(F.array_sort(F.collect_list(word)).alias("words")).withColumn("text", _told(F.col("words")))
+    first, last = F.element_at("words", 1), F.element_at("words", -1)
+    wide = (last["x1"] - first["x0"] > PARAGRAPH_SHARE * page_width) & (F.char_length("text") > PARAGRAPH_CHARS)
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y")) - 1
+    groups = _merged(F.transform("words", lambda w: w["x0"]), GROUP_GAP)
+    return rows.select("doc_id", "page", number.alias("row_no"), "y", "text", wide.alias("is_paragraph"), first["text"].rlike(NUMBERING).alias("is_numbering"), groups.alias("groups"), *["words"] * with_words)
+
+
+def page_columns(rows: DataFrame, page_width: float = 612.0) -> DataFrame:
+    """doc_id, page and columns, where they begin: of the pages whose rows with three groups or more make a table. rows: see word_rows."""
+    wide = rows.filter(~F.col("is_paragraph") & (F.size("groups") >= 3))
+    starts = wide.groupBy("doc_id", "page").agg(F.array_sort(F.flatten(F.collect_list("groups"))).alias("xs"))
+    steps = F.zip_with(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.slice("xs", 1, F.greatest(F.size("xs") - 1, F.lit(0))), lambda b, a: b - a)
+    gaps = F.array_sort(F.filter(steps, lambda g: g > 5))
+    usual = F.get("gaps", F.floor(F.size("gaps") * 0.7).cast("int"))
+    tolerance = F.when(F.size("gaps") >= 3, F.least(F.lit(MOST_TOLERANCE), F.greatest(F.lit(LEAST_TOLERANCE), usual))).otherwise(START_TOLERANCE)
+    found = starts.withColumn("gaps", gaps).withColumn("tolerance", tolerance).withColumn("columns", _merged(F.col("xs"), F.col("tolerance")))
+    n = F.size("columns")
+    span = F.element_at("columns", -1) - F.element_at("columns", 1)
+    most = max(15, int(20 * page_width / 612))
+    return found.filter((n > 1) & (n <= most)).filter((span / n >= 30) & (n / (span / 72) <= 10)).select("doc_id", "page", "columns")
 
-    def segments(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        found = page_segments(page, page_width) or []
-        return pd.DataFrame([{"doc_id": key[0], "page": key[1], "ord": i, "type": s["type"], "y": s["y"], "rows": s["rows"], "text": s["text"]} for i, s in enumerate(found)], columns=["doc_id", "page", "ord", "type", "y", "rows", "text"])
 
-    return words.groupBy("doc_id", "page").applyInPandas(segments, f"doc_id {kind}, page int, ord int, type string, y double, rows array<array<string>>, text string")
+def form_segments(words: DataFrame, page_width: float = 612.0) -> DataFrame:
+    """doc_id, page, ord, type (table or text), y, rows and text of every page that holds a form or table.
+
+    Rows that fall into two of the page's columns or more are rows of a table, and tables run on while such rows follow each
+    other; every other row is a segment of text. A page of which less than a fifth of the rows are aligned holds none.
+    """
+    rows = word_rows(words, page_width, with_words=True)
+    on_table = rows.join(page_columns(rows, page_width), ["doc_id", "page"])
+    near = lambda x: F.array_position(F.transform("columns", lambda c: F.abs(x - c) < COLUMN_REACH), True)
+    touched = F.size(F.array_distinct(F.filter(F.transform("words", lambda w: near(w["x0"])), lambda i: i > 0)))
+    page = Window.partitionBy("doc_id", "page")
+    flagged = on_table.withColumn("aligned", ~F.col("is_paragraph") & ~F.col("is_numbering") & (touched >= 2))
+    kept = flagged.withColumn("__share", F.avg(F.col("aligned").cast("int")).over(page)).filter(F.col("__share") >= 0.2)
+    # A word's cell: so many columns after the first begin at it or before it, give or take the slack.
+    cell = lambda w: F.size(F.filter(F.col("columns"), lambda c: w["x0"] >= c - CELL_SLACK))
+    cells = F.transform("columns", lambda c, i: _told(F.filter("words", lambda w: F.greatest(cell(w), F.lit(1)) == i + 1)))
+    down = page.orderBy("row_no")
+    begins = F.when(F.col("aligned") & F.lag("aligned", 1, False).over(down), 0).otherwise(1)
+    numbered = kept.withColumn("cells", cells).withColumn("__new", begins).withColumn("ord", F.sum("__new").over(down.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    gathered = numbered.groupBy("doc_id", "page", "ord").agg(F.first("aligned").alias("table"), F.min("y").alias("y"), F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("all"), F.first("text").alias("line"))
+    none = F.array().cast("array<array<string>>")
+    return gathered.select("doc_id", "page", F.col("ord").cast("int").alias("ord"), F.when(F.col("table"), "table").otherwise("text").alias("type"), "y", F.when(F.col("table"), F.transform("all", lambda r: r["cells"])).otherwise(none).alias("rows"), F.when(F.col("table"), "").otherwise(F.col("line")).alias("text"))
 
 
 def form_text(segments: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import chemistry, math_text
 from ..functions import text as T
-from ..functions.frames import spread
+from ..functions.frames import spread, stored
 from ..operators import blocks, cards, chunks, packs, retrieval, words
 from ..sources import detect, registry
 from ..streaming.ingest import event_windows
-from . import study
+from . import files, study
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,12 +133,12 @@ def markdown_blocks(spark, sf_dir):
 
 def blocks_to_markdown(spark, sf_dir):
     made = blocks.study_blocks(blocks.markdown_blocks(markdown_of(spark, sf_dir)))
-    return blocks.blocks_markdown(made)
+    return blocks.blocks_markdown(made).select("doc_id", F.md5("markdown").alias("digest"))
 
 
 def block_chunks(spark, sf_dir):
     made = blocks.study_blocks(blocks.markdown_blocks(markdown_of(spark, sf_dir)))
-    return chunks.chunk_blocks(made)
+    return chunks.chunk_blocks(made).select("doc_id", "chunk_id", "kind", F.md5("text").alias("digest"))
 
 
 def text_chunks(spark, sf_dir):
@@ -178,11 +178,13 @@ def qa_mcqs(spark, sf_dir):
 
 
 def reading_order(spark, sf_dir):
+    """Every word as a block, 200 on a page, set out in crooked lines."""
     docs = table(spark, sf_dir, "documents")
-    parts = docs.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 40)).alias("i", "content"))
-    box = F.struct(F.pmod(F.col("i") * 37, F.lit(11)).cast("double").alias("x"), (F.floor(F.col("i") / 7) * 9 + F.pmod(F.col("i"), F.lit(3))).cast("double").alias("y"), F.lit(5.0).alias("w"), F.lit(6.0).alias("h"))
-    made = blocks.reading_order(parts.select("doc_id", F.lit(0).alias("page"), "i", "content", box.alias("bbox")))
-    return made.select("doc_id", F.col("i").cast("long").alias("i"), F.col("ord").cast("long").alias("ord"), "block_id")
+    parts = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "content"))
+    place = F.pmod(F.col("i"), F.lit(200))
+    box = F.struct(F.pmod(place * 37, F.lit(11)).cast("double").alias("x"), (F.floor(place / 7) * 9 + F.pmod(place, F.lit(3))).cast("double").alias("y"), F.lit(5.0).alias("w"), F.lit(6.0).alias("h"))
+    made = blocks.reading_order(parts.select("doc_id", F.floor(F.col("i") / 200).cast("int").alias("page"), "i", "content", box.alias("bbox")))
+    return made.select("doc_id", F.col("page").cast("long").alias("page"), F.col("i").cast("long").alias("i"), F.col("ord").cast("long").alias("ord"), "block_id")
 
 
 def page_words(spark, sf_dir) -> DataFrame:
@@ -195,25 +197,59 @@ def page_words(spark, sf_dir) -> DataFrame:
 
 
 def word_rows(spark, sf_dir):
-    return words.word_rows(page_words(spark, sf_dir))
+    found = words.word_rows(page_words(spark, sf_dir))
+    return found.select("doc_id", F.col("page").cast("long").alias("page"), F.col("row_no").cast("long").alias("row_no"), "y", "text", "is_paragraph", "is_numbering", F.array_join(F.transform("groups", lambda x: x.cast("int").cast("string")), ",").alias("groups"))
 
 
 def form_segments(spark, sf_dir):
-    return words.form_segments(page_words(spark, sf_dir))
+    found = words.form_segments(page_words(spark, sf_dir))
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")
+    return found.select("doc_id", F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "type", "y", F.md5(rows).alias("rows"), F.md5("text").alias("text"))
 
 
 def region_text(spark, sf_dir):
-    found = page_words(spark, sf_dir).filter("page = 0")  # the SQL has regions of the first page, and no page in its rows
+    """Two regions of every page."""
+    found = page_words(spark, sf_dir)
     regions = found.select("doc_id", "page").distinct().select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("region_id"))
     box = F.struct((F.col("region_id") * 280.0).alias("x"), F.lit(25.0).alias("y"), F.lit(250.0).alias("w"), F.lit(100.0).alias("h"))
     read = words.region_text(found, regions.withColumn("bbox", box))
-    return read.select("doc_id", F.col("region_id").cast("long").alias("region_id"), F.md5("text").alias("digest"))
+    return read.select("doc_id", F.col("page").cast("long").alias("page"), F.col("region_id").cast("long").alias("region_id"), F.md5("text").alias("digest"))
+
+
+def page_lines(spark, sf_dir) -> DataFrame:
+    """Every line of documents as a line of a page, in fonts of nine sizes."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    place = F.col("line_no").cast("double")
+    return lines.select("doc_id", F.lit(0).alias("page"), "line_no", "text", (F.pmod(F.col("line_no") * 7, F.lit(9)) + 10).cast("double").alias("font_size"), F.lit(0.0).alias("x"), (place * 20).alias("y"), F.lit(500.0).alias("w"), F.lit(12.0).alias("h"))
+
+
+def line_kinds(spark, sf_dir):
+    made = words.line_blocks(page_lines(spark, sf_dir))
+    return made.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "type", F.md5("content").alias("content"), F.coalesce("title", F.lit("")).alias("title"))
+
+
+def joined_characters(spark, sf_dir):
+    """The characters of benchmark items, six units wide, as words."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(F.split("text", "")).alias("char_ix", "char")).filter("char <> ''")
+    x = F.col("char_ix") * 6.0
+    made = words.chars_to_words(items.select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("line"), "char_ix", "char", x.alias("x0"), (x + 6).alias("x1"), F.lit(1.0).alias("top"), F.lit(9.0).alias("bottom")))
+    return made.select("doc_id", F.col("word_ix").cast("long").alias("word_ix"), "text", "x0", "x1")
+
+
+def region_segments(spark, sf_dir):
+    """Customers' boxes as segments, and as regions a little aside: the segment that covers most of each region."""
+    base = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.pmod("c_custkey", F.lit(40)).cast("int").alias("page"), F.col("c_custkey").alias("k"))
+    place = F.pmod(F.col("k") * 13, F.lit(50)).cast("double")
+    box = lambda x: F.struct(x.alias("x"), (place * 3).alias("y"), F.lit(20.0).alias("w"), F.lit(10.0).alias("h"))
+    found = words.largest_overlap(base.select("doc_id", "page", F.col("k").alias("segment_id"), box(place).alias("bbox")), base.select("doc_id", "page", F.col("k").alias("region_id"), box(place + 7).alias("bbox")))
+    return found.select("doc_id", F.col("page").cast("long").alias("page"), "region_id", "segment_id")
 
 
 def applied_edits(spark, sf_dir):
+    """Two edits of every block, of which the later counts; it removes each fourth block."""
     made = blocks.markdown_blocks(markdown_of(spark, sf_dir)).select("doc_id", "ord", "block_id", "type", "content")
-    log = made.filter("doc_id % 3 = 0 and ord < 4").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
-    edits = log.select("doc_id", "ord", "block_id", "type", F.concat(F.lit("edit "), F.col("seq").cast("string")).alias("content"), F.when((F.col("ord") == 3) & (F.col("seq") == 2), "remove").otherwise("upsert").alias("op"), F.lit(0).alias("ts"), "seq")
+    log = made.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    edits = log.select("doc_id", "ord", "block_id", "type", F.concat(F.lit("edit "), F.col("seq").cast("string"), F.lit(" of "), F.col("content")).alias("content"), F.when((F.pmod("ord", F.lit(4)) == 3) & (F.col("seq") == 2), "remove").otherwise("upsert").alias("op"), F.lit(0).alias("ts"), "seq")
     return blocks.apply_edits(made, edits).select("doc_id", F.col("ord").cast("long").alias("ord"), "block_id", F.md5("content").alias("digest"))
 
 
@@ -234,7 +270,15 @@ def lexical_topk(spark, sf_dir):
 
 
 def lexical_prefix_topk(spark, sf_dir):
-    return retrieval.lexical_topk(_docs_as_corpus(spark, sf_dir), _items_as_queries(spark, sf_dir), prefix=True)
+    found = retrieval.lexical_topk(_docs_as_corpus(spark, sf_dir), _items_as_queries(spark, sf_dir), prefix=True)
+    return found.select("query_id", "chunk_id", "bm25", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def indexed_topk(spark, sf_dir):
+    """lexical_topk from postings that were written before, without the texts."""
+    index = stored(retrieval.terms_table(_docs_as_corpus(spark, sf_dir)), "index")
+    found = retrieval.lexical_topk(None, _items_as_queries(spark, sf_dir), index=index)
+    return found.select("query_id", "chunk_id", "bm25", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -338,10 +382,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         sentence_split, token_estimate, skippable_headings, normalized_markdown, significant_terms, search_tokens, card_keys, collapsed_lines, html_escaped, url_parts, data_uris, failure_classes, chemistry_text, math_latex,
-        detected_formats, converted_pages, nation_tables, markdown_blocks, blocks_to_markdown, block_chunks, text_chunks, chunk_digests, study_cards, qa_pairs, qa_cards, qa_mcqs, reading_order, word_rows, form_segments, region_text, applied_edits,
-        lexical_topk, lexical_prefix_topk, vector_topk, approximate_vector_topk, hybrid_fusion, hybrid_retrieval, gated_passages, relevance_gate, answers, search_corpus, conversation_stats, merged_blocks, packed_studies, event_counts,
+        detected_formats, converted_pages, nation_tables, markdown_blocks, blocks_to_markdown, block_chunks, text_chunks, chunk_digests, study_cards, qa_pairs, qa_cards, qa_mcqs, reading_order, word_rows, form_segments, region_text, line_kinds, joined_characters, region_segments, applied_edits,
+        lexical_topk, lexical_prefix_topk, indexed_topk, vector_topk, approximate_vector_topk, hybrid_fusion, hybrid_retrieval, gated_passages, relevance_gate, answers, search_corpus, conversation_stats, merged_blocks, packed_studies, event_counts,
     )
-}
+} | files.QUERIES
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -354,9 +398,26 @@ def _heading(s: str) -> str:
     return rf"(regexp_matches({s}, '^\d+(?:\.\d+)*\s+THE\s+[A-Z][A-Z0-9\s\-]{{8,}}\.?$') OR ({letters} >= 15 AND {upper} / greatest({letters}, 1) >= 0.72 AND length({s}) < 140 AND NOT regexp_matches({s}, '(?i)\b(is|are|was|called|include|located)\b')))"
 
 
-_SENTENCES = rf"""parts AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: {_TRIM.format("p")}) AS p FROM documents),
-kept AS (SELECT doc_id, list_filter(p, lambda x: length(x) >= 24 AND NOT {_heading("x")}) AS p FROM parts),
-cut AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= 2048 THEN [x] ELSE list_filter(list_transform(range(CAST(ceil(length(x) / 2048) AS BIGINT)), lambda i: {_TRIM.format("substring(x, i * 2048 + 1, 2048)")}), lambda s: s <> '') END)) AS s FROM kept)"""
+def _sentences(source: str, keys: str, text: str) -> str:
+    return rf"""parts AS (SELECT {keys}, list_transform(string_split(regexp_replace(regexp_replace({text}, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: {_TRIM.format("p")}) AS p FROM {source}),
+kept AS (SELECT {keys}, list_filter(p, lambda x: length(x) >= 24 AND NOT {_heading("x")}) AS p FROM parts),
+cut AS (SELECT {keys}, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= 2048 THEN [x] ELSE list_filter(list_transform(range(CAST(ceil(length(x) / 2048) AS BIGINT)), lambda i: {_TRIM.format("substring(x, i * 2048 + 1, 2048)")}), lambda s: s <> '') END)) AS s FROM kept)"""
+
+
+_SENTENCES = _sentences("documents", "doc_id", "text")
+
+
+def _windows(source: str, keys: str) -> str:
+    """chunked: keys, i and text, of source with keys and s, the sentences."""
+    return rf"""counted AS (SELECT {keys}, s, list_transform(s, lambda x: CAST(ceil(length({_TRIM.format('x')}) / 4.0) AS BIGINT)) AS t FROM {source} WHERE len(s) > 0),
+pre AS (SELECT {keys}, s, len(s) AS n, list_transform(range(len(s) + 1), lambda k: coalesce(list_sum(list_slice(t, 1, k)), 0)) AS p FROM counted),
+walk AS (
+  SELECT {keys}, 0 AS i, 0::BIGINT AS a, greatest(1, coalesce(list_max(list_filter(range(1, n + 1), lambda e: p[e + 1] <= 512)), 1)) AS b FROM pre
+  UNION ALL
+  SELECT {keys}, i + 1, a2, greatest(a2 + 1, coalesce(list_max(list_filter(range(a2 + 1, n + 1), lambda e: p[e + 1] - p[a2 + 1] <= 512)), a2 + 1))
+  FROM (SELECT {keys}, i, n, p, greatest(a + 1, coalesce(list_max(list_filter(range(a, b), lambda o: p[b + 1] - p[o + 1] >= 64)), a)) AS a2 FROM walk w JOIN pre USING ({keys}) WHERE b < n)),
+chunked AS (SELECT {keys}, i, {_TRIM.format("array_to_string(list_slice(s, a + 1, b), ' ')")} AS text FROM walk JOIN pre USING ({keys}))"""
+
 
 _QA = """pairs AS (SELECT conv_id AS doc_id, turn, text AS q, a FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r2 = 'assistant')"""
 _CARDS = rf"""{_QA},
@@ -381,17 +442,30 @@ sized AS (SELECT *, CASE type WHEN 'heading' THEN 28.0 WHEN 'table' THEN greates
 blocks AS (SELECT doc_id, row_number() OVER w - 1 AS ord, type, content, 48 + coalesce(sum(greatest(24.0, h + 8)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 
 
-def _bm25(k: int) -> str:
+def _bm25(k: int, prefix: bool = False) -> str:
+    meets = "starts_with(tf.t, a.t)" if prefix else "tf.t = a.t"
     return rf"""terms AS (SELECT doc_id AS c, {_TERMS.format("text")} AS ts FROM documents),
 size AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM terms),
 tf AS (SELECT c, len AS dl, t, count(*) AS tf FROM (SELECT c, len(ts) AS len, unnest(ts) AS t FROM terms) GROUP BY ALL),
-df AS (SELECT t, count(DISTINCT c) AS df FROM tf GROUP BY t),
 q AS (SELECT DISTINCT item_id AS q, unnest({_TERMS.format("text")}) AS t FROM benchmark),
-scored AS (SELECT q, c, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS s FROM q JOIN tf USING (t) JOIN df USING (t), size GROUP BY q, c),
+vocabulary AS (SELECT a.t AS asked, tf.t FROM (SELECT DISTINCT t FROM q) a JOIN (SELECT DISTINCT t FROM tf) tf ON {meets}),
+met AS (SELECT asked AS t, c, dl, tf FROM vocabulary JOIN tf USING (t)),
+df AS (SELECT t, count(DISTINCT c) AS df FROM met GROUP BY t),
+scored AS (SELECT q, c, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS s FROM q JOIN met USING (t) JOIN df USING (t), size GROUP BY q, c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) - 1 AS r FROM scored QUALIFY r < {k}),
 lexical AS (SELECT q, c, s, r, (count(*) OVER (PARTITION BY q) - r) / count(*) OVER (PARTITION BY q) AS score FROM ranked)"""
 
 
+_TOP = f"WITH {_bm25(8)} SELECT q AS query_id, c AS chunk_id, s AS bm25, r AS rank, round(score, 6) AS score FROM lexical"
+#: Words of documents in a grid of four columns, 200 on a page; and these as rows.
+_PLACED = r"""w AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS t FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents)),
+placed AS (SELECT doc_id, i // 200 AS page, i, t, (i % 4) * 140 + 20 AS x, (i % 200 // 4) * 15 + 30 AS y FROM w)"""
+_ROWS = rf"""{_PLACED},
+gathered AS (SELECT doc_id, page, y, list(t ORDER BY x) AS ts, list(x ORDER BY x) AS xs FROM placed GROUP BY ALL),
+rows AS (SELECT doc_id, page, y, ts, xs, row_number() OVER (PARTITION BY doc_id, page ORDER BY y) - 1 AS row_no, array_to_string(ts, ' ') AS text,
+  xs[-1] + 60 - xs[1] > 336.6 AND length(array_to_string(ts, ' ')) > 60 AS is_paragraph, regexp_matches(ts[1], '^\.\d+$') AS is_numbering FROM gathered)"""
+
+
 _FUSED = f"""{_bm25(8)},
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 near AS (SELECT item_id AS q, d.doc_id AS c, round(list_cosine_similarity(x.e, y.e), 6) AS s FROM benchmark b JOIN e x ON x.vec_id = b.item_id, documents d JOIN e y ON y.vec_id = d.doc_id),
@@ -405,16 +479,13 @@ _OVERLAP = "CASE WHEN len(ts) = 0 THEN 0 ELSE len(list_filter(ts, lambda t: cont
 
 SQL: dict[str, str] = {
     "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(1))) AS digest FROM cut",
-    "chunk_digests": rf"""
-WITH RECURSIVE {_SENTENCES},
-sized AS (SELECT doc_id, s, list_transform(s, lambda x: CAST(ceil(length({_TRIM.format("x")}) / 4.0) AS BIGINT)) AS t FROM cut WHERE len(s) > 0),
-pre AS (SELECT doc_id, s, len(s) AS n, list_transform(range(len(s) + 1), lambda k: coalesce(list_sum(list_slice(t, 1, k)), 0)) AS p FROM sized),
-walk AS (
-  SELECT doc_id, 0 AS i, 0::BIGINT AS a, greatest(1, coalesce(list_max(list_filter(range(1, n + 1), lambda e: p[e + 1] <= 512)), 1)) AS b FROM pre
-  UNION ALL
-  SELECT doc_id, i + 1, a2, greatest(a2 + 1, coalesce(list_max(list_filter(range(a2 + 1, n + 1), lambda e: p[e + 1] - p[a2 + 1] <= 512)), a2 + 1))
-  FROM (SELECT w.doc_id, i, n, p, greatest(a + 1, coalesce(list_max(list_filter(range(a, b), lambda o: p[b + 1] - p[o + 1] >= 64)), a)) AS a2 FROM walk w JOIN pre ON pre.doc_id = w.doc_id WHERE b < n))
-SELECT w.doc_id, 'md-' || i AS chunk_id, md5({_TRIM.format("array_to_string(list_slice(s, a + 1, b), ' ')")}) AS digest FROM walk w JOIN pre ON pre.doc_id = w.doc_id""",
+    "chunk_digests": f"WITH RECURSIVE {_SENTENCES}, {_windows('cut', 'doc_id')} SELECT doc_id, 'md-' || i AS chunk_id, md5(text) AS digest FROM chunked",
+    "text_chunks": f"WITH RECURSIVE {_SENTENCES}, {_windows('cut', 'doc_id')} SELECT doc_id, 'md-' || i AS chunk_id, 1 AS page, 'text' AS kind, text FROM chunked",
+    "block_chunks": f"""WITH RECURSIVE {_BLOCKS.replace("parts AS", "split AS").replace("FROM parts", "FROM split")}, {_sentences("blocks", "doc_id, ord, type, content", "content")},
+told AS (SELECT doc_id, ord, type, CASE WHEN len(s) > 0 THEN s WHEN length(content) >= 12 THEN [left(content, 2048)] ELSE [] END AS s FROM cut), {_windows("told", "doc_id, ord, type")}
+SELECT doc_id, 'md-p0-b' || ord || '_c' || i AS chunk_id, type AS kind, md5(text) AS digest FROM chunked""",
+    "blocks_to_markdown": rf"""WITH {_BLOCKS}
+SELECT doc_id, md5(regexp_replace(string_agg(CASE WHEN type = 'heading' AND NOT starts_with(content, '#') THEN '# ' || content ELSE content END, chr(10) || chr(10) ORDER BY ord), '(?m)^[ \t\r\f\v]*(\.\d+)[ \t\r\f\v]*\n\s*(\S)', '\1 \2', 'g')) AS digest FROM blocks GROUP BY doc_id""",
     "token_estimate": f"SELECT doc_id, CAST(ceil(length({_TRIM.format('text')}) / 4.0) AS BIGINT) AS tokens FROM documents",
     "skippable_headings": rf"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[\n.]'), lambda p: {_TRIM.format('p')}), lambda x: {_heading('x')})) AS n_headings FROM documents",
     "normalized_markdown": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(text, '.', '. ' || chr(10) || chr(10) || chr(10)), '[ \t\r\f\v]+\n', chr(10), 'g'), '[ \t\r\f\v]+$', ''), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents",
@@ -457,7 +528,7 @@ SELECT n_regionkey, '| ' || rpad('key', any_value(wa), ' ') || ' | ' || rpad('na
 FROM r JOIN w USING (n_regionkey) GROUP BY n_regionkey""",
     "markdown_blocks": f"WITH {_BLOCKS} SELECT doc_id, ord, 'md-p0-b' || ord AS block_id, type, md5(content) AS digest, CAST(round(y, 3) AS DOUBLE) AS y FROM blocks",
     "applied_edits": f"""WITH {_BLOCKS}
-SELECT doc_id, ord, 'md-p0-b' || ord AS block_id, md5(CASE WHEN doc_id % 3 = 0 AND ord < 4 THEN 'edit 2' ELSE content END) AS digest FROM blocks WHERE NOT (doc_id % 3 = 0 AND ord = 3)""",
+SELECT doc_id, ord, 'md-p0-b' || ord AS block_id, md5('edit 2 of ' || content) AS digest FROM blocks WHERE ord % 4 <> 3""",
     "qa_pairs": rf"""WITH {_QA}, clean AS (SELECT doc_id, turn, {_TRIM.format("q")} AS q, {_TRIM.format("a")} AS a FROM pairs)
 SELECT doc_id, turn AS ord, 'b' || turn AS block_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN q <> '' THEN '**Q:** ' || q END, CASE WHEN a <> '' THEN '**A:** ' || a END)) AS content, md5(q) AS question, md5(a) AS answer FROM clean""",
     "qa_cards": rf"""WITH {_CARDS}
@@ -465,19 +536,47 @@ SELECT doc_id, n AS ord, 'fc-b' || turn || '-' || n AS id, page, md5(CASE WHEN e
   md5(CASE WHEN regexp_matches(c, '\\ce\{{|\\pu\{{|\$') AND length(c) <= 320 THEN c ELSE array_to_string(string_split(c, ' ')[1:60], ' ') END) AS answer
 FROM (SELECT *, {_COLLAPSE.format("a")} AS c FROM cards)""",
     "reading_order": r"""
-WITH p AS (SELECT doc_id, unnest(range(len(w))) AS i FROM (SELECT doc_id, string_split(text, ' ')[1:40] AS w FROM documents)),
-b AS (SELECT doc_id, i, (i * 37) % 11 AS x, (i // 7) * 9 + i % 3 AS y FROM p),
-d AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, x) > 4 THEN 1 ELSE 0 END AS s FROM b),
-l AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS line FROM d),
-o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY line, x, y) - 1 AS ord FROM l)
-SELECT doc_id, i, ord, 'p0-b' || ord AS block_id FROM o""",
-    "region_text": r"""
-WITH w AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS t FROM (SELECT doc_id, regexp_split_to_array(text, '\s+')[1:200] AS w FROM documents)),
-p AS (SELECT doc_id, i, t, (i % 4) * 140 + 20 AS x, (i // 4) * 15 + 30 AS y FROM w),
-r AS (SELECT p.*, g.region_id FROM p, (VALUES (0), (1)) AS g(region_id) WHERE x + 60 >= region_id * 280 - 2 AND x <= region_id * 280 + 252 AND least(y + 10, 125) - greatest(y, 25) >= 5),
-l AS (SELECT doc_id, region_id, floor(y / 5.0 + 0.5) AS k, string_agg(t, ' ' ORDER BY x, i) AS line FROM r GROUP BY ALL)
-SELECT doc_id, CAST(region_id AS BIGINT) AS region_id, md5(string_agg(line, chr(10) ORDER BY k)) AS digest FROM l GROUP BY doc_id, region_id""",
-    "lexical_topk": f"WITH {_bm25(8)} SELECT q AS query_id, c AS chunk_id, s AS bm25, r AS rank, round(score, 6) AS score FROM lexical",
+WITH p AS (SELECT doc_id, unnest(range(len(w))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
+b AS (SELECT doc_id, i, i // 200 AS page, (i % 200 * 37) % 11 AS x, (i % 200 // 7) * 9 + i % 200 % 3 AS y FROM p),
+d AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y, x) > 4 THEN 1 ELSE 0 END AS s FROM b),
+l AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS line FROM d),
+o AS (SELECT doc_id, page, i, row_number() OVER (PARTITION BY doc_id, page ORDER BY line, x, y) - 1 AS ord FROM l)
+SELECT doc_id, page, i, ord, 'p' || page || '-b' || ord AS block_id FROM o""",
+    "region_text": rf"""
+WITH {_PLACED},
+r AS (SELECT p.*, g.region_id FROM placed p, (VALUES (0), (1)) AS g(region_id) WHERE x + 60 >= region_id * 280 - 2 AND x <= region_id * 280 + 252 AND least(y + 10, 125) - greatest(y, 25) >= 5),
+l AS (SELECT doc_id, page, region_id, floor(y / 5.0 + 0.5) AS k, string_agg(t, ' ' ORDER BY x, i) AS line FROM r GROUP BY ALL)
+SELECT doc_id, page, CAST(region_id AS BIGINT) AS region_id, md5(string_agg(line, chr(10) ORDER BY k)) AS digest FROM l GROUP BY doc_id, page, region_id""",
+    "word_rows": f"WITH {_ROWS} SELECT doc_id, page, row_no, CAST(y AS DOUBLE) AS y, text, is_paragraph, is_numbering, array_to_string(xs, ',') AS groups FROM rows",
+    "form_segments": rf"""
+WITH {_ROWS},
+starts AS (SELECT doc_id, page, list_sort(list_distinct(flatten(list(xs)))) AS columns FROM rows WHERE NOT is_paragraph AND len(xs) >= 3 GROUP BY ALL),
+flagged AS (SELECT r.*, NOT is_paragraph AND NOT is_numbering AND len(list_filter(columns, lambda c: list_contains(xs, c))) >= 2 AS aligned, columns FROM rows r JOIN starts USING (doc_id, page)),
+shares AS (SELECT *, avg(CAST(aligned AS INT)) OVER (PARTITION BY doc_id, page) AS share FROM flagged),
+marked AS (SELECT *, CASE WHEN aligned AND lag(aligned, 1, false) OVER w THEN 0 ELSE 1 END AS begins FROM shares WHERE share >= 0.2 WINDOW w AS (PARTITION BY doc_id, page ORDER BY row_no)),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, page ORDER BY row_no) - 1 AS ord FROM marked),
+cells AS (SELECT *, array_to_string(list_transform(columns, lambda c: coalesce(ts[list_position(xs, c)], '')), '|') AS line FROM numbered)
+SELECT doc_id, page, CAST(ord AS BIGINT) AS ord, CASE WHEN any_value(aligned) THEN 'table' ELSE 'text' END AS type, CAST(min(y) AS DOUBLE) AS y,
+  md5(CASE WHEN any_value(aligned) THEN string_agg(line, chr(10) ORDER BY row_no) ELSE '' END) AS rows, md5(CASE WHEN any_value(aligned) THEN '' ELSE any_value(text) END) AS text FROM cells GROUP BY doc_id, page, ord""",
+    "line_kinds": rf"""
+WITH l AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+t AS (SELECT doc_id, line_no, trim(raw) AS t, line_no * 7 % 9 + 10 AS size FROM l WHERE trim(raw) <> ''),
+m AS (SELECT doc_id, list_sort(list(size)) AS s FROM t GROUP BY doc_id)
+SELECT doc_id, line_no, kind AS type, md5(t) AS content, CASE WHEN kind = 'heading' THEN left(t, 80) ELSE '' END AS title
+FROM (SELECT *, CASE WHEN regexp_matches(t, '^(?:[-*+•▪◦]|\d+[.)])\s+') THEN 'list' WHEN size >= 1.35 * s[len(s) // 2 + 1] AND length(t) < 200 THEN 'heading' ELSE 'text' END AS kind FROM t JOIN m USING (doc_id))""",
+    "joined_characters": r"""
+WITH c AS (SELECT item_id AS doc_id, unnest(range(length(text))) AS i, text FROM benchmark),
+n AS (SELECT doc_id, i, substring(text, i + 1, 1) AS ch FROM c),
+s AS (SELECT *, CASE WHEN NOT regexp_matches(ch, '\s') AND coalesce(regexp_matches(lag(ch) OVER w, '\s'), true) THEN 1 ELSE 0 END AS starts FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS word_ix FROM s)
+SELECT doc_id, CAST(word_ix AS BIGINT) AS word_ix, string_agg(ch, '' ORDER BY i) AS text, min(i) * 6.0::DOUBLE AS x0, max(i) * 6.0::DOUBLE + 6 AS x1 FROM k WHERE NOT regexp_matches(ch, '\s') GROUP BY doc_id, word_ix""",
+    "region_segments": """
+WITH b AS (SELECT c_nationkey AS doc_id, c_custkey % 40 AS page, c_custkey AS k, c_custkey * 13 % 50 AS x FROM customer),
+p AS (SELECT r.doc_id, r.page, r.k AS region_id, s.k AS segment_id, greatest(0, least(s.x + 20, r.x + 27) - greatest(s.x, r.x + 7)) * greatest(0, 10 - abs(s.x - r.x) * 3) / 200.0 AS share FROM b s JOIN b r USING (doc_id, page))
+SELECT doc_id, page, region_id, segment_id FROM p WHERE share >= 0.2 QUALIFY row_number() OVER (PARTITION BY doc_id, page, region_id ORDER BY share DESC, segment_id DESC) = 1""",
+    "lexical_topk": _TOP,
+    "indexed_topk": _TOP,
+    "lexical_prefix_topk": f"WITH {_bm25(8, prefix=True)} SELECT q AS query_id, c AS chunk_id, s AS bm25, r AS rank, round(score, 6) AS score FROM lexical",
     "vector_topk": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND len(a.e) = len(b.e))
@@ -502,4 +601,4 @@ many AS (SELECT conv_id // 4 AS m FROM (SELECT DISTINCT conv_id FROM conversatio
 made AS (SELECT doc_id // 4 AS m, doc_id % 4 AS s, turn, 'm' || (doc_id % 4) || '_b' || turn AS block_id, concat_ws(chr(10) || chr(10), CASE WHEN q <> '' THEN '**Q:** ' || q END, CASE WHEN a <> '' THEN '**A:** ' || a END) AS content FROM clean)
 SELECT m AS doc_id, row_number() OVER (PARTITION BY m ORDER BY s, turn, block_id) - 1 AS ord, block_id, md5(content) AS digest FROM made JOIN many USING (m)""",
     "event_counts": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
-}
+} | files.SQL

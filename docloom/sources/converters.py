@@ -12,6 +12,7 @@ import struct
 import wave
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from urllib.parse import parse_qs, unquote, urljoin, urlsplit
@@ -514,6 +515,10 @@ def audio(data: bytes, info: Info, context: Context) -> Converted:
     return Converted("\n".join(lines), info.filename)
 
 
+#: What an archive's entry raises that is damaged, encrypted or packed in a way that isn't known.
+DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError)
+
+
 def archive(data: bytes, info: Info, context: Context) -> Converted:
     """Every entry under its name, by the converter that takes it. An entry that fails says so, or with strict fails the whole."""
     from .registry import convert_bytes
@@ -528,7 +533,7 @@ def archive(data: bytes, info: Info, context: Context) -> Converted:
         own = Info(filename=name, extension=posixpath.splitext(name)[1] or None)
         try:
             sections.append(f"## {name}\n\n{convert_bytes(packed.read(name), own, replace(context, depth=context.depth - 1)).markdown}")
-        except (UnsupportedFormat, ConversionFailed, MissingReader) as e:
+        except (UnsupportedFormat, ConversionFailed, MissingReader, *DAMAGED) as e:
             if context.strict:
                 raise
             sections.append(f"## {name}\n\n<!-- not converted: {e} -->")

@@ -104,3 +104,10 @@ def test_html_to_markdown():
     want = '# Title\n\nPara **bold** and _it_ [l](/x "t")\n\n3.  one\n4.  two\n    *   in\n\n```py\nx=1\n```\n\n| a | b |\n| --- | --- |\n| 1 | 2\\|3 |\n\n> q\n\n[image]![A](i.png)\n\na  \nb\n\n* * *\n\n``c`d``'
     assert html_to_markdown(html) == want
     assert html_to_markdown("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep" and html_to_markdown("") == ""
+
+
+def test_reactions_with_arrow_glyphs_end():
+    """An arrow that only becomes one when it is spelled out, and a reaction that is too long for a formula."""
+    assert C.normalize_in_text("Zn→Cu") == "$\\ce{Zn->Cu}$"
+    long = " + ".join(["Zn"] * 60) + " → Cu"
+    assert C.normalize_in_text(long) == C.plain_to_mhchem(long) == long

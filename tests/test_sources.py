@@ -154,3 +154,13 @@ def test_uris(spark):
 def test_response_info(spark):
     got = spark.range(1).select(D.response_info(F.lit("Text/HTML; charset=utf-8"), F.lit("attachment; filename=\"r.CSV\""), F.lit("https://x.org/p/q.txt?a")).alias("a"), D.response_info(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("https://x.org/p/q.txt?a")).alias("b")).first()
     assert tuple(got.a)[:4] == ("text/html", ".csv", "utf-8", "r.CSV") and tuple(got.b)[:4] == (None, ".txt", None, "q.txt")
+
+
+def test_a_damaged_entry_leaves_the_others():
+    data = office.archive(**{"a.txt": "good", "b.txt": "bad " * 100, "c.txt": "fine"})
+    at = data.index(b"b.txt") + 5
+    broken = data[:at] + bytes(x ^ 0x55 for x in data[at : at + 8]) + data[at + 8 :]
+    said = md(broken, extension=".zip", filename="x.zip").markdown
+    assert "good" in said and "fine" in said and "## b.txt\n\n<!-- not converted:" in said
+    with pytest.raises(C.ConversionFailed):
+        md(broken, Context(strict=True), extension=".zip")
