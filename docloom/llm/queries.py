@@ -76,8 +76,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with two pictures put behind its heading, its address and its own source: each item of the sequences, in its place."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    filled = lambda c: F.concat(c, F.repeat(F.lit(" "), F.when(F.octet_length(c) == 0, media.WIDTH).otherwise(F.pmod(-F.octet_length(c), F.lit(media.WIDTH)))))
+    both = pages.withColumns({"__a": filled(F.col("url")), "__b": filled(F.col("html"))})
+    path = media.write_media(both.select(F.explode(F.array(F.encode("__a", "utf-8"), F.encode("__b", "utf-8"))).alias("payload")), shared_path(spark, "media"))
+    shown = lambda c, caption: F.concat(F.lit("<img src='" + media.SCHEME), F.sha2(c, 256), F.lit(f"' alt='{caption}'>"))
+    figure = F.concat(F.lit("<figure>"), shown("__a", "address"), shown("__b", "source"), F.lit("<figcaption>Page "), F.col("page_id").cast("string"), F.lit("</figcaption></figure><p>behind</p>"))
+    parts = F.split("html", "</h1>", 2)
+    html = F.concat(F.get(parts, F.lit(0)), F.lit("</h1>"), figure, F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+    found = media.resolve(media.interleave(both.select("page_id", html.alias("html"))), media.read_media(spark.read.parquet(path)))
+    return found.select("page_id", "position", "kind", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "digest", "caption", "payload_bytes", "payload_sha256", "feature")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_simhash, op3_licenses, op4_secrets, op5_token_counts, op6_line_dedup, op7_decontamination, op8_packing, op9_token_files, op10_media, language_id_pages)
+    f.__name__: f for f in (op1_language_id, op2_simhash, op3_licenses, op4_secrets, op5_token_counts, op6_line_dedup, op7_decontamination, op8_packing, op9_token_files, op10_media, language_id_pages, media_pages)
 }
 
 _KEY = f"translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_dedup.UPPER}', '{line_dedup.LOWER}')"

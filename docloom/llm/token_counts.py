@@ -1,7 +1,8 @@
 """Token counts by a byte-level BPE, most of them without merging.
 
-Which of the vocabulary's strings encode alone as one token is proved once for each worker, by the model itself: a pre-token
-among these counts one. Only the rest is merged, and each distinct one once as long as the cache holds it.
+Which of the vocabulary's strings encode alone as one token is proved beforehand, by the model itself: at the driver, once for
+a tokenizer file, and handed to the workers (a few MB at most, as the vocabulary bounds it). A pre-token among these counts
+one. Only the rest is merged, and each distinct one once as long as the cache holds it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class TokenCounter:
     """count(text): as many ids as the library's encode(text, add_special_tokens=False) gives."""
 
-    def __init__(self, path: str, keep: int = KEEP):
+    def __init__(self, path: str, keep: int = KEEP, single: dict[str, int] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -45,7 +46,7 @@ class TokenCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.letters = byte_letters()
         self.model = Tokenizer.from_str(json.dumps(said | {"pre_tokenizer": None, "added_tokens": [], "post_processor": None}))
-        self.single = self.prove(said["model"]["vocab"])
+        self.single = self.prove(said["model"]["vocab"]) if single is None else single
         self.keep = keep
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
@@ -106,10 +107,10 @@ class TokenCounter:
 _COUNTERS: dict[str, TokenCounter] = {}
 
 
-def token_counter(path: str) -> TokenCounter:
-    """One for each file and Python worker."""
+def token_counter(path: str, single: dict[str, int] | None = None) -> TokenCounter:
+    """One for each file and Python process; single: what has been proved of its vocabulary, if anything has."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path)
+        _COUNTERS[path] = TokenCounter(path, single=single)
     return _COUNTERS[path]
 
 
@@ -122,9 +123,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    proved = docs.sparkSession.sparkContext.broadcast(token_counter(tokenizer).single)  # before the job, bounded by the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = token_counter(tokenizer)
+        counter = token_counter(tokenizer, proved.value)
         for batch in batches:
             n = counter.batch(list(texts(batch.column(2))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

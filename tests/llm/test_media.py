@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import media as M
 from docloom.llm.common import shared_path
-from docloom.llm.queries import op10_media
+from docloom.llm.queries import media_pages, op10_media
 
 
 def test_png_round_trip():
@@ -61,3 +62,38 @@ def test_empty(spark):
     assert M.interleave(spark.createDataFrame([], "html string")).collect() == []
     path = M.write_media(spark.createDataFrame([], "payload binary"), shared_path(spark, "m"))
     assert M.read_media(spark.read.parquet(path)).agg(F.count("*")).first()[0] == 0
+
+
+def test_heads_and_captions_without_ends():
+    body = lambda html: [(x["kind"], x["text"] or x["src"], x["caption"]) for x in M.sequence_of(html)]
+    assert body("<html><head><title>x</title><meta charset=u><body><p>text</p><img src=a>") == [("text", "text", None), ("media", "a", None)]
+    assert body("<head><title>x</title><p>one</p>") == [("text", "one", None)]
+    assert body("<figure><img src=a><figcaption>cap</figure><p>rest</p>") == [("media", "a", "cap"), ("text", "rest", None)]
+    assert body("<figure><img src=a><figcaption>cap <b>goes</b> on") == [("media", "a", "cap goes on")]
+    assert body("<figcaption>alone</figcaption><p>x") == [("text", "alone", None), ("text", "x", None)]
+    assert body("a<![CDATA[ b ]]>c<![ x") [0][0] == "text" and body("<![zz[ y ]]>z")[-1][1].endswith("z")
+
+
+def test_any_markup_can_be_read():
+    r = random.Random(5)
+    bits = ["<![", "<!", "<!doctype x>", "]]>", "<", ">", "</", "<p", "<img src=x>", "<figure>", "</figure>", "<figcaption>", "<title>", "</title>", "<script>", "</script>", "<head>", "<body>", "&amp;", "&#", "text ", "'", '"', "=", "<?", "--", "<!--", "-->", "[", "\0", "é"]
+    for _ in range(4000):
+        found = M.sequence_of("".join(r.choice(bits) for _ in range(r.randrange(20))))
+        assert [x["position"] for x in found] == list(range(len(found)))
+
+
+def test_pages_against_brute_force(spark, tmp_path):
+    rows = [(1, "http://a.org/x", "<html><head><title>t</title></head><body><h1>One</h1><p>two</p><p>three</p></body></html>"), (2, None, "<p>no heading"), (3, "", None), (4, "u", "<h1>é</h1><img src=z.png>end")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = []
+    for page, url, html in rows:
+        payloads = {hashlib.sha256(p).hexdigest(): p for p in (M.padded((url or "").encode()), M.padded((html or "").encode()))}
+        a, b = (hashlib.sha256(M.padded((x or "").encode())).hexdigest() for x in (url, html))
+        head, _, tail = (html or "").partition("</h1>")
+        figure = f"<figure><img src='media:sha256:{a}' alt='address'><img src='media:sha256:{b}' alt='source'><figcaption>Page {page}</figcaption></figure><p>behind</p>"
+        for x in M.sequence_of(f"{head}</h1>{figure}{tail}"):
+            p = payloads.get(x["digest"])
+            want.append((page, x["position"], x["kind"], hashlib.sha256((x["text"] or "").encode()).hexdigest(), x["digest"], x["caption"], p and len(p), p and x["digest"], p and M.feature(p)))
+    got = sorted(map(tuple, media_pages(spark, str(tmp_path)).collect()), key=lambda r: r[:2])
+    assert got == want
+    assert [(r[2], r[5]) for r in got if r[0] == 1] == [("text", None), ("media", "Page 1"), ("media", "Page 1"), ("text", None), ("text", None), ("text", None)]
