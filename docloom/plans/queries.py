@@ -14,7 +14,7 @@ from ..functions.frames import spread, stored
 from ..operators import blocks, cards, chunks, packs, retrieval, words
 from ..sources import detect, registry
 from ..streaming.ingest import event_windows
-from . import files, study
+from . import files, parts, study
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -385,7 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         detected_formats, converted_pages, nation_tables, markdown_blocks, blocks_to_markdown, block_chunks, text_chunks, chunk_digests, study_cards, qa_pairs, qa_cards, qa_mcqs, reading_order, word_rows, form_segments, region_text, line_kinds, joined_characters, region_segments, applied_edits,
         lexical_topk, lexical_prefix_topk, indexed_topk, vector_topk, approximate_vector_topk, hybrid_fusion, hybrid_retrieval, gated_passages, relevance_gate, answers, search_corpus, conversation_stats, merged_blocks, packed_studies, event_counts,
     )
-} | files.QUERIES
+} | files.QUERIES | parts.QUERIES
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -601,4 +601,5 @@ many AS (SELECT conv_id // 4 AS m FROM (SELECT DISTINCT conv_id FROM conversatio
 made AS (SELECT doc_id // 4 AS m, doc_id % 4 AS s, turn, 'm' || (doc_id % 4) || '_b' || turn AS block_id, concat_ws(chr(10) || chr(10), CASE WHEN q <> '' THEN '**Q:** ' || q END, CASE WHEN a <> '' THEN '**A:** ' || a END) AS content FROM clean)
 SELECT m AS doc_id, row_number() OVER (PARTITION BY m ORDER BY s, turn, block_id) - 1 AS ord, block_id, md5(content) AS digest FROM made JOIN many USING (m)""",
     "event_counts": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
-} | files.SQL
+} | files.SQL | parts.SQL
+SQL["next_block_numbers"] = f"WITH {_BLOCKS} SELECT doc_id, 0::BIGINT AS page, count(*) AS next FROM blocks GROUP BY doc_id"
