@@ -22,8 +22,8 @@ from .merging import Merger
 
 #: Words that are encoded in one call.
 TOGETHER = 20_000
-#: Words that each half of the cache keeps.
-KEEP = 400_000
+#: Words that each half of the cache keeps: some 50 MB together.
+KEEP = 100_000
 #: What may close a word of letters and is then a piece of its own: ASCII marks, without the apostrophe of contractions.
 CLOSING = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27)
 #: Words of Latin-1 letters, which are lower-cased one by one and compose with nothing.
