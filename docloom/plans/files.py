@@ -209,7 +209,7 @@ SQL: dict[str, str] = {
     "guessed_formats": """
 WITH b AS (SELECT page_id AS id, 'pages' AS source, html AS t, page_id % 2 = 0 AS fits FROM pages UNION ALL SELECT doc_id, 'documents', text, true FROM documents),
 c AS (SELECT *, CASE WHEN regexp_matches(left(hex(encode(t)), 16384), '^([0-7][0-9A-F])*$') THEN 'ascii' ELSE 'utf-8' END AS charset FROM b)
-SELECT id, source, CASE WHEN fits THEN 1 ELSE 2 END AS n_guesses, CASE WHEN source = 'pages' THEN 'text/html' ELSE 'text/plain' END AS mimetype, CASE WHEN source = 'pages' THEN '.html' ELSE '.txt' END AS extension, charset, length(t) > 0 AS is_text FROM c""",
+SELECT id, source, CAST(CASE WHEN fits THEN 1 ELSE 2 END AS BIGINT) AS n_guesses, CASE WHEN source = 'pages' THEN 'text/html' ELSE 'text/plain' END AS mimetype, CASE WHEN source = 'pages' THEN '.html' ELSE '.txt' END AS extension, charset, length(t) > 0 AS is_text FROM c""",
 }
 SQL |= {
     name: _by_region(template, title)

@@ -82,7 +82,7 @@ QUERIES = {f.__name__: f for f in (plain_packs, merged_packs, attached_images, a
 SQL: dict[str, str] = {
     "plain_packs": "SELECT doc_id, 1 AS version, lang AS title, md5(text) AS markdown, 0::BIGINT AS n_blocks, '' AS error FROM documents",
     "merged_packs": """
-SELECT n_regionkey AS doc_id, min_by(n_name, n_nationkey) AS title, md5(string_agg('## Merged from: ' || n_name || chr(10) || chr(10) || '# ' || n_name || chr(10) || chr(10) || 'About ' || n_name || '.', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n_nationkey)) AS markdown,
+SELECT CAST(n_regionkey AS BIGINT) AS doc_id, min_by(n_name, n_nationkey) AS title, md5(string_agg('## Merged from: ' || n_name || chr(10) || chr(10) || '# ' || n_name || chr(10) || chr(10) || 'About ' || n_name || '.', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n_nationkey)) AS markdown,
   2 * count(*) AS n_blocks, 'm' || min(n_nationkey) || '_md-p0-b0' AS first_block, 'Merged ' || count(*) || ' study packs: ' || string_agg(n_name, ', ' ORDER BY n_nationkey) AS warning FROM nation GROUP BY n_regionkey HAVING count(*) > 1""",
     "attached_images": """
 WITH p AS (SELECT s_nationkey AS d, s_suppkey AS k, s_suppkey % 5 AS page, 'data:' || s_suppkey % 7 AS src FROM supplier WHERE s_suppkey % 3 = 0),
