@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +66,30 @@ def word_rows(words: DataFrame, page_width: float = 612.0, with_words: bool = Fa
     return rows.select("doc_id", "page", number.alias("row_no"), "y", "text", wide.alias("is_paragraph"), first["text"].rlike(NUMBERING).alias("is_numbering"), groups.alias("groups"), *["words"] * with_words)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body names it, within other functions' bodies too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tolerance(xs: Column) -> Column:
+    """How far apart column starts are at least, by the larger gaps between ascending numbers."""
+    rest = F.greatest(F.size(xs) - 1, F.lit(0))
+    gaps = F.array_sort(F.filter(F.zip_with(F.slice(xs, 2, rest), F.slice(xs, 1, rest), lambda b, a: b - a), lambda g: g > 5))
+    return _let(gaps, lambda g: F.when(F.size(g) >= 3, F.least(F.lit(MOST_TOLERANCE), F.greatest(F.lit(LEAST_TOLERANCE), F.get(g, F.floor(F.size(g) * 0.7).cast("int"))))).otherwise(START_TOLERANCE))
+
+
 def page_columns(rows: DataFrame, page_width: float = 612.0) -> DataFrame:
     """doc_id, page and columns, where they begin: of the pages whose rows with three groups or more make a table. rows: see word_rows."""
-    wide = rows.filter(~F.col("is_paragraph") & (F.size("groups") >= 3))
-    starts = wide.groupBy("doc_id", "page").agg(F.array_sort(F.flatten(F.collect_list("groups"))).alias("xs"))
-    steps = F.zip_with(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.slice("xs", 1, F.greatest(F.size("xs") - 1, F.lit(0))), lambda b, a: b - a)
-    gaps = F.array_sort(F.filter(steps, lambda g: g > 5))
-    usual = F.get("gaps", F.floor(F.size("gaps") * 0.7).cast("int"))
-    tolerance = F.when(F.size("gaps") >= 3, F.least(F.lit(MOST_TOLERANCE), F.greatest(F.lit(LEAST_TOLERANCE), usual))).otherwise(START_TOLERANCE)
-    found = starts.withColumn("gaps", gaps).withColumn("tolerance", tolerance).withColumn("columns", _merged(F.col("xs"), F.col("tolerance")))
-    n = F.size("columns")
-    span = F.element_at("columns", -1) - F.element_at("columns", 1)
     most = max(15, int(20 * page_width / 612))
-    return found.filter((n > 1) & (n <= most)).filter((span / n >= 30) & (n / (span / 72) <= 10)).select("doc_id", "page", "columns")
+
+    def table(columns: Column) -> Column:
+        n, span = F.size(columns), F.element_at(columns, -1) - F.element_at(columns, 1)
+        return F.when((n > 1) & (n <= most) & (span >= 30 * n) & (n * 72 <= 10 * span), columns)
+
+    wide = rows.filter(~F.col("is_paragraph") & (F.size("groups") >= 3))
+    starts = wide.select("doc_id", "page", F.explode("groups").alias("x")).groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    columns = _let(_let(F.col("xs"), lambda xs: _let(_tolerance(xs), lambda t: _merged(xs, t))), table)
+    return starts.select("doc_id", "page", columns.alias("columns")).filter("columns is not null")
 
 
 def form_segments(words: DataFrame, page_width: float = 612.0) -> DataFrame:
