@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import shared_folder
 from docloom.operators import blocks as B
 from docloom.operators import images as I
 from docloom.operators import modules as G
@@ -93,9 +94,24 @@ def test_files_to_packs_and_merges(spark, tmp_path):
 def test_stored_blocks_and_strategies(spark, tmp_path):
     df = spark.createDataFrame([(1, "s1", "data:x"), (2, "s2", None)], "doc_id long, source string, data_url string")
     B.save_blocks(df, f"{tmp_path}/b")
-    assert B.load_blocks(spark, f"{tmp_path}/b", "s2").first().doc_id == 2 and B.clear_blocks(B.load_blocks(spark, f"{tmp_path}/b"), "s1").count() == 1
+    assert B.load_blocks(spark, f"{tmp_path}/b", "s2").first().doc_id == 2
+    assert B.clear_blocks(spark, f"{tmp_path}/b", "s1") == 1 and [r.source for r in B.load_blocks(spark, f"{tmp_path}/b").collect()] == ["s2"]
+    assert B.clear_blocks(spark, f"{tmp_path}/b", "s1") == 0 and B.clear_blocks(spark, f"{tmp_path}/b") == 1 and B.clear_blocks(spark, f"{tmp_path}/none") == 0
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.1])], "query_id int, embedding array<float>")
     assert R.vector_search(vectors, asked, 1).first().chunk_id == R.vector_search(vectors, asked, 1, strategy="approximate").first().chunk_id == "a"
     with pytest.raises(ValueError):
         R.vector_search(vectors, asked, strategy="other")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
