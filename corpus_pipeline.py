@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language_id, line_dedup, near_copies, packing
+from docloom.llm import decontaminate, language_id, line_dedup, near_copies, packing, simhash
 from docloom.llm.common import saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,12 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word Jaccard similarity of at least 0.8) the document with the least doc_id goes on."""
-    return near_copies.keep_one(docs, 5, 0.8).select(*COLUMNS)
+    """Of each group of near copies the document with the least doc_id goes on.
+
+    Two documents link where their SimHash fingerprints differ in up to 2 bits, as in op2_simhash, and also where their
+    5-word Jaccard similarity is at least 0.8, of which pairs most differ in more bits. Groups are by both kinds of links.
+    """
+    return near_copies.keep_one(docs, 5, 0.8, simhash.near_duplicates(docs, 3, 2)).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

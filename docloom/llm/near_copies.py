@@ -167,13 +167,16 @@ def _unpacked(members: pa.StructArray) -> tuple:
     return node, np.array(part.cast(pa.string()).to_pylist()), bands.flatten().to_numpy().reshape(-1, BANDS), np.frombuffer(b"".join(signs.to_pylist()), dtype=np.uint8).reshape(len(signs), -1), sets
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, grouped: DataFrame | None = None) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable by links), per row of docs.
 
     Documents link where the Jaccard similarity of their distinct shingles of so many words is at least similarity; A-Z
     are lower-cased, ASCII white space parts words, and a text of fewer words is one shingle. Texts with the same words are
     one node, so copies are never paired. Rows with null doc_id have null component_id and link nothing; rows with one
     doc_id are one document with as many texts.
+
+    grouped: doc_id and component_id (its group's least doc_id) by another method for the same docs, such as SimHash. Its
+    groups are links beside the others. Texts with the same words have to be in one group.
     """
     marked = saved(marks(docs, words), "marks")
     known = marked.filter(F.col("doc_id").isNotNull())
@@ -183,14 +186,18 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     several = known.select("doc_id", F.xxhash64("digest").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("doc_id")
     own = known.select("doc_id", "digest").join(several, "doc_id").join(nodes, "digest").select("doc_id", "node")
     same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
-    first = saved(links(docs, pairs, words, similarity).unionByName(same), "links")
+    first = links(docs, pairs, words, similarity).unionByName(same)
+    if grouped is not None:  # a copy is in the group of its node, and the least doc_id of a group is a node
+        told = grouped.filter("component_id < doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        first = first.unionByName(told.join(nodes.select(F.col("node").alias("a")), "a", "left_semi"))
+    first = saved(first, "links")
     found = components(first.unionByName(crowded_links(docs, points, components(first), words, similarity)))
     named = nodes.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = marked.select("doc_id", "digest").join(named, "digest", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of each component the document with the least doc_id, with the columns of docs; rows with null doc_id stay."""
-    rejected = near_copies(docs, words, similarity).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, grouped: DataFrame | None = None) -> DataFrame:
+    """Of each component the document with the least doc_id, with the columns of docs; rows with null doc_id stay. grouped: as in near_copies."""
+    rejected = near_copies(docs, words, similarity, grouped).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(rejected, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -92,3 +92,19 @@ def test_second_pass_over_a_crowded_band(spark):
     for block in (4, 1000):
         got = [tuple(x) for x in crowded_links(docs, points, component, 5, 0.8, 12, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_stage_links_by_simhash_and_by_similarity(spark):
+    """1, 2 and 5 are near copies by SimHash only (most of their shingles are repeats), 2 and 3 by Jaccard only; 4 has the words of 2."""
+    r = random.Random(11)
+    line = "the same line stands in this text again and again and fills all of it "  # an odd number of shingles: no bit is set in half of them
+    tail = lambda n: " ".join(f"t{r.randrange(10**6)}" for _ in range(n))
+    bits = lambda a, b: (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count()
+    one, two, five = (line * 400 + tail(60) for _ in range(3))
+    words = sorted(set(two.split()) - set(line.split()))
+    three = line * 3 + two[len(line) * 400 :]
+    assert len(words) > 50 and jaccard(one, two) < 0.5 and jaccard(two, three) >= 0.8 and bits(one, two) <= 2 and bits(one, five) <= 2 < min(bits(two, three), bits(one, three))
+    held = {1: one, 2: two, 3: three, 4: two.upper(), 5: five, 6: tail(80), 7: tail(80)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in held.items()] + [(None, one, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.keep_one_of_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id for r in kept), key=lambda x: (x is None, x)) == [1, 6, 7, None]
