@@ -181,14 +181,15 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, groupe
     marked = saved(marks(docs, words), "marks")
     known = marked.filter(F.col("doc_id").isNotNull())
     nodes = saved(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    points = known.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bands", "sign")
+    # Written out, as it is read five times: bands and signatures are shuffled once for it.
+    points = saved(known.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bands", "sign"), "points")
     pairs = saved(candidates(points), "pairs")
     several = known.select("doc_id", F.xxhash64("digest").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("doc_id")
     own = known.select("doc_id", "digest").join(several, "doc_id").join(nodes, "digest").select("doc_id", "node")
     same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
     first = links(docs, pairs, words, similarity).unionByName(same)
     if grouped is not None:  # a copy is in the group of its node, and the least doc_id of a group is a node
-        told = grouped.filter("component_id < doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        told = saved(grouped.filter("component_id < doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "grouped")
         first = first.unionByName(told.join(nodes.select(F.col("node").alias("a")), "a", "left_semi"))
     first = saved(first, "links")
     found = components(first.unionByName(crowded_links(docs, points, components(first), words, similarity)))
