@@ -122,6 +122,12 @@ def test_text_and_charset(spark):
     assert [r.t for r in got] == [True, False, False, True, True, False] and [r.s for r in got] == ["ascii", "ascii", "ascii", "utf-8", "latin1", "utf-16le"]
 
 
+def test_ascii_head():
+    """A guess of ASCII is of the first 8 KiB; the rest is read as UTF-8, or as Latin-1 where it isn't that."""
+    for charset in ("utf-8", "latin-1"):
+        assert Info(charset="ascii").text(("a" * 9000 + " Zoë").encode(charset)).endswith(" Zoë")
+
+
 def test_guesses(spark):
     schema = "c binary, i struct<mimetype: string, extension: string, charset: string, filename: string, local_path: string, url: string>"
     rows = [(bytearray(b"%PDF-1"), (None, ".pdf", None, "a.pdf", None, None)), (bytearray(b"%PDF-1"), (None, ".csv", None, None, None, None)), (bytearray(b"a,b"), (None, ".csv", None, None, None, None)), (bytearray(b"x"), ("text/html", None, None, None, None, None))]
