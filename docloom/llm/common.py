@@ -11,27 +11,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch that goes to Python: texts may be long, so a batch of the default 10,000 rows may be large.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+from ..functions.arrow import BATCH_BYTES, BATCH_ROWS, small_batches  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound what a Python worker holds at once, in rows and in bytes (one row may be longer).
-
-    Spark reads both settings when a plan runs, so they can't be restored before that: they stay lowered for the session,
-    and are never raised.
-    """
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share. Only where all runs in one process may it be unset: a temporary folder then."""
     context = spark.sparkContext
