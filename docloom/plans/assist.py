@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chemistry, math_text
+from ..functions.arrow import batch_udf
 from ..functions.frames import union
 from .study import Generator
 
@@ -17,7 +18,7 @@ CHEMISTRY_DOUBT, MATH_DOUBT = 0.72, 0.7
 
 
 def _assisted(df: DataFrame, rules: Callable[[str], str], sure: Callable[[str, str], float], doubt: float, extract: Callable[[str], str | None], prompt: str, generator: Callable[[], Generator] | None, skip: Callable[[str], bool]) -> DataFrame:
-    @F.pandas_udf("struct<normalized: string, confidence: double>")
+    @batch_udf("struct<normalized: string, confidence: double>")
     def by_rules(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(None, None) if x is None else (y := rules(x), sure(x, y)) for x in batch]
@@ -27,7 +28,7 @@ def _assisted(df: DataFrame, rules: Callable[[str], str], sure: Callable[[str, s
     if generator is None:
         return ruled
 
-    @F.pandas_udf("string")
+    @batch_udf("string")
     def by_model(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = generator()
         for batch in batches:
