@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a table's files for a partition, and partitions at most.
+EACH, MOST = 8 << 20, 20_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share. Only where all runs in one process may it be unset: a temporary folder then."""
@@ -21,14 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """df written into the shared folder and read back.
 
     For what several steps read: it is computed once, and its plan begins at files that lost executors don't take along.
+    rows: of a file at most. Parquet stores some tables in a few bytes a row, so that a task that reads 128 MB would meet
+    tens of millions; as a file counts for 4 MB at least, a task then reads 32 files at most.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,10 +60,23 @@ def union(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return first
 
 
+def _pieces(df: DataFrame) -> int:
+    """Its files' size by EACH; 0 where Spark doesn't know it (its guess is huge then)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(size // EACH, MOST) if size < 1 << 50 else 0
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many partitions to deal df's rows to by a key: one for each 8 MiB below it, and no fewer than shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _pieces(df))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if it comes in no more: a small table, whose file may be one row group.
 
-    Tables of a cluster's size have more partitions than cores and stay as they are.
+    A table of texts is many times as large in memory as its file, and a word is a row in many steps; so where splits are
+    large, partitions hold about 8 MiB of a file each.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    cores, own = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    wanted = max(cores, _pieces(df))
+    return df.repartition(wanted) if own <= cores or 2 * own < wanted else df

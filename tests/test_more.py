@@ -115,3 +115,58 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session)
+
+
+def test_a_pages_words_are_dealt_out_once(spark):
+    from docloom.operators import words as W
+
+    placed = spark.createDataFrame([(1, 0, i, "w", 10.0 * i, 10.0 * i + 8, 5.0, 9.0) for i in range(5)], "doc_id long, page int, word_ix int, text string, x0 double, x1 double, top double, bottom double")
+    for made in (W.word_rows, W.form_segments):
+        plan = made(placed)._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan and "hashpartitioning(doc_id" in plan
+
+
+def test_boxes_and_their_copies(spark):
+    """Copies of boxes, and boxes with missing sides, against every pair; copies are held against each other only once."""
+    import random
+
+    from docloom.operators import words as W
+
+    r = random.Random(7)
+    box = lambda: (float(r.randrange(4) * 5), float(r.randrange(3) * 5), r.choice([20.0, 20.0, 8.0]), r.choice([10.0, 10.0, None]))
+    kind = "doc_id long, page int, {} long, bbox struct<x: double, y: double, w: double, h: double>"
+    segments = [(i % 2, i % 3, i, box()) for i in range(120)]
+    regions = [(i % 2, i % 3, i, box()) for i in range(90)] + [(1, 1, 900, None)]
+    found = W.largest_overlap(spark.createDataFrame(segments, kind.format("segment_id")), spark.createDataFrame(regions, kind.format("region_id")))
+    least = lambda *x: min(v for v in x if v is not None)
+    most = lambda *x: max(v for v in x if v is not None)
+    end = lambda b, at, size: None if b[size] is None or b[at] is None else b[at] + b[size]
+
+    def share(a, b):
+        b = b or (None,) * 4
+        across = most(0.0, least(end(a, 0, 2), end(b, 0, 2)) - most(a[0], b[0]))
+        low = [v for v in (end(a, 1, 3), end(b, 1, 3)) if v is not None]
+        down = most(0.0, min(low) - most(a[1], b[1]) if low else None)
+        return across * down / (most(b[2] * b[3], 1.0) if b[3] is not None else 1.0)
+
+    want = {}
+    for d, p, i, b in regions:
+        fits = [(share(a, b), j) for d2, p2, j, a in segments if (d2, p2) == (d, p) and share(a, b) >= 0.2]
+        if fits:
+            want[d, p, i] = max(fits)[1]
+    assert {(x.doc_id, x.page, x.region_id): x.segment_id for x in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3
+
+
+def test_partitions_follow_the_files(spark, tmp_path, monkeypatch):
+    from docloom.functions import frames
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(20_000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert frames.spread(df).rdd.getNumPartitions() == cores and frames.parts_of(df) == 4
+    monkeypatch.setattr(frames, "EACH", 4000)
+    assert frames.spread(df).rdd.getNumPartitions() > cores and frames.parts_of(df) > cores
+    assert frames.parts_of(spark.createDataFrame([(1,)], "i int").rdd.toDF()) == 4
+    assert len(frames.stored(df, "split", 1000).inputFiles()) >= 20
