@@ -276,7 +276,7 @@ def lexical_prefix_topk(spark, sf_dir):
 
 def indexed_topk(spark, sf_dir):
     """lexical_topk from postings that were written before, without the texts."""
-    index = stored(retrieval.terms_table(_docs_as_corpus(spark, sf_dir)), "index")
+    index = stored(retrieval.terms_table(_docs_as_corpus(spark, sf_dir)), "index", retrieval.POSTINGS)
     found = retrieval.lexical_topk(None, _items_as_queries(spark, sf_dir), index=index)
     return found.select("query_id", "chunk_id", "bm25", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
